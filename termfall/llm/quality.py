@@ -4,9 +4,9 @@ Spark counts the n-grams of every text of a language (order 4 over 48 character
 48^4 entries however large the corpus is). The driver turns the summed counts into a modified Kneser-Ney model: sorted arrays of
 n-gram keys (an n-gram's key is its packed classes, a hash without collisions) with log probabilities, probed by
 vectorised binary search, and dense tables of lower orders for backing off. A document is rejected when a counted rule fails
-or when its mean negative log probability per character leaves its language's band. The band is the median plus and minus
-BAND deviations (1.4826 times the median absolute deviation), measured over all documents of the language that pass the
-counted rules, and never narrower than LEAST nats.
+or when its mean negative log probability per character leaves its language's band. The band reaches
+from the median BELOW deviations down and ABOVE deviations up (a deviation is 1.4826 times the median absolute deviation),
+measured over all documents of the language that pass the counted rules, and never less than LEAST_BELOW and LEAST_ABOVE nats.
 
 Edge cases: null and empty texts have no words and fail the base rule; a null language is a language of its own, the
 empty string; a text of whitespace only has no words; texts are read whole; repeated rows count as often as they stand there;
@@ -32,8 +32,10 @@ TOP = CLASSES**ORDER
 MID = CLASSES ** (ORDER - 1)
 #: Documents with fewer words fail.
 LEAST_WORDS = 50
-#: Half-width of a band in deviations, and the least half-width in nats a character.
-BAND, LEAST = 8.0, 0.25
+#: Reach of a band below and above the median, in deviations, and its least reach in nats a character. Texts that
+#: repeat a few signs are too predictable and lie just below ordinary ones; texts in two languages lie above them and stay.
+BELOW, LEAST_BELOW = 4.5, 0.1
+ABOVE, LEAST_ABOVE = 25.0, 0.6
 #: Languages that a broadcast model may hold: each has 48^4 entries of 8 bytes at most.
 MOST_LANGUAGES = 256
 
@@ -234,8 +236,8 @@ def bands(scored: DataFrame) -> DataFrame:
     """(lang, low, high) from rows (lang, nll) by mergeable sketches: no language's rows meet in one task."""
     middle = scored.groupBy("__lang").agg(F.percentile_approx("nll", 0.5, 10_000).alias("__mid"))
     spread = scored.join(F.broadcast(middle), "__lang").groupBy("__lang", "__mid").agg(F.percentile_approx(F.abs(F.col("nll") - F.col("__mid")), 0.5, 10_000).alias("__mad"))
-    half = F.greatest(F.lit(LEAST), F.lit(BAND * 1.4826) * F.col("__mad"))
-    return spread.select("__lang", (F.col("__mid") - half).alias("__low"), (F.col("__mid") + half).alias("__high"))
+    low, high = (F.greatest(F.lit(least), F.lit(reach * 1.4826) * F.col("__mad")) for reach, least in ((BELOW, LEAST_BELOW), (ABOVE, LEAST_ABOVE)))
+    return spread.select("__lang", (F.col("__mid") - low).alias("__low"), (F.col("__mid") + high).alias("__high"))
 
 
 def _verdict(scored: DataFrame, limits: DataFrame) -> DataFrame:
