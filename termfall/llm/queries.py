@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, pii, quality, simhash, suffix_dedup, urlfilter
+from . import bpe, langid, pii, quality, simhash, suffix_dedup, urlfilter
 from .common import table
 
 
@@ -14,6 +14,10 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_bytes=False)
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *bpe.production(), with_ids=False)
 
@@ -36,6 +40,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
