@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, pii, quality, simhash, suffix_dedup, urlfilter
+from . import ann, bpe, langid, pii, quality, simhash, suffix_dedup, urlfilter
 from .common import table
 
 
@@ -22,6 +23,11 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *bpe.production(), with_ids=False)
 
 
+def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_classes(table(spark, sf_dir, "documents"))
 
@@ -42,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
     "op4_byte_bpe": op4_byte_bpe,
+    "op5_nearest": op5_nearest,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
