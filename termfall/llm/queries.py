@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, langid, pii, quality, simhash, suffix_dedup, urlfilter
+from . import ann, bpe, chat, langid, pii, quality, simhash, suffix_dedup, urlfilter
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.digests(chat.windows(given.unionByName(chat.example(given))))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_documents(table(spark, sf_dir, "documents"), *bpe.production(), with_ids=False)
 
@@ -47,6 +52,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
+    "op3_chat": op3_chat,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_nearest": op5_nearest,
     "op7_simhash": op7_simhash,
@@ -55,4 +61,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_url_filters": urlfilter.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.SQL, "op9_url_filters": urlfilter.SQL}
