@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, langid, pii, quality, simhash, suffix_dedup, urlfilter
+from . import ann, bpe, chat, langid, mixing, pii, quality, simhash, suffix_dedup, urlfilter
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(vectors.filter(F.col("vec_id") % 20 == 0), vectors, k=20)
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.plan_copies(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.fingerprint_classes(table(spark, sf_dir, "documents"))
 
@@ -55,6 +59,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat": op3_chat,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_nearest": op5_nearest,
+    "op6_mixing": op6_mixing,
     "op7_simhash": op7_simhash,
     "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
