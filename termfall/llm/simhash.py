@@ -189,13 +189,28 @@ def links(distinct: DataFrame, bits: int = BITS, fp_col: str = "fp") -> DataFram
     return turned.repartition(parts, F.col("block"), key).mapInArrow(join, schema)
 
 
+def _classes(distinct: DataFrame, bits: int) -> DataFrame:
+    """(fp, root) for every distinct fingerprint; root is a fingerprint of the class."""
+    roots = components(links(distinct, bits)).select(F.col("node").alias("fp"), "root")
+    return distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:
     """A row per document: id, fingerprint (16 hex digits), component_id (least id reachable over links)."""
     made = checkpointed(fingerprints(docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")), "__text", words, "fp").select("__id", "fp"))
-    distinct = made.groupBy("fp").agg(F.min("__id").alias("least"))
-    roots = components(links(distinct, bits))
-    lowest = roots.join(distinct, roots["node"] == distinct["fp"]).groupBy("root").agg(F.min("least").alias("component_id"))
-    member = roots.join(lowest, "root").select(F.col("node").alias("fp"), "component_id")
-    classes = distinct.join(member, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
-    out = made.join(classes, "fp", "left")
+    classed = _classes(made.groupBy("fp").agg(F.min("__id").alias("least")), bits)
+    lowest = classed.groupBy("root").agg(F.min("least").alias("component_id"))
+    out = made.join(classed.join(lowest, "root").select("fp", "component_id"), "fp", "left")
     return out.select(F.col("__id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:
+    """One row of docs for each class, the one of the least id (a null id only if there is no other), with the columns it came with.
+
+    Texts move in one shuffle, by id and fingerprint, so copies are spread.
+    """
+    made = fingerprints(docs.withColumn("__id", F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))), text_col, words, "__fp")
+    narrow = checkpointed(made.select("__id", "__fp"))
+    classed = _classes(narrow.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("least")), bits)
+    kept = classed.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("k")).select(F.col("k.least").alias("__id"), F.col("k.fp").alias("__fp"))
+    return made.join(kept, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"]).select(*docs.columns)
