@@ -1 +1 @@
-
+"""Text analysis, stemming and scoring as column expressions."""

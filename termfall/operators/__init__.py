@@ -1 +1 @@
-
+"""Search, scoring, mutation and evaluation over an index."""

@@ -1 +1 @@
-
+"""The inverted index as relations."""

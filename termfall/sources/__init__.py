@@ -1 +1 @@
-
+"""Readers of corpora and stored indexes."""

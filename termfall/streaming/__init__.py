@@ -1 +1 @@
-
+"""Continuous ingestion."""
