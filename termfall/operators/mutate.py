@@ -19,7 +19,7 @@ def numbered(docs: DataFrame, start: int, order_col: str, id_col: str = "doc_id"
 
     Ranks are counted inside buckets of BUCKET consecutive numbers; only the buckets' counts are summed along a line.
     """
-    placed = docs.withColumn("__bucket", F.floor(F.col(order_col) / BUCKET))
+    placed = docs.withColumn("__bucket", F.col(order_col) - F.pmod(F.col(order_col), F.lit(BUCKET)))
     sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
     before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__bucket").orderBy(order_col)) - 1
@@ -45,7 +45,7 @@ def delete(index: Index, gone: DataFrame, compact: bool = True) -> Index:
         moves = _moves(docs)
         docs = docs.join(moves, "doc_id").select(F.col("to").alias("doc_id"), "dl")
         postings = postings.join(moves, "doc_id").select("term", F.col("to").alias("doc_id"), "tf", "dl")
-    return replace(index, docs=docs, postings=postings, stored_terms=None, stored_totals=None)
+    return replace(index, docs=docs.select("doc_id", "dl"), postings=postings.select("term", "doc_id", "tf", "dl"), stored_terms=None, stored_totals=None)
 
 
 def _moves(docs: DataFrame) -> DataFrame:
