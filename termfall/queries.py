@@ -44,8 +44,8 @@ def _tf(method: str, k1: float, b: float, delta: float) -> tuple[str, str]:
     norm = f"(1 - {b} + {b} * dl / a)"
     short, long = f"tf / ({k1} * {norm} + tf)", f"{k1 + 1} * tf / ({k1} * {norm} + tf)"
     return {
-        "lucene": ("ln(1 + (n - df + 0.5) / (df + 0.5))", short),
-        "robertson": ("greatest(0.0, ln((n - df + 0.5) / (df + 0.5)))", short),
+        "lucene": ("ln(1 + (0.5 + n - df) / (0.5 + df))", short),
+        "robertson": ("greatest(0.0, ln((0.5 + n - df) / (0.5 + df)))", short),
         "atire": ("ln(n / df)", long),
         "bm25l": ("ln((n + 1) / (df + 0.5))", f"{k1 + 1} * (tf / {norm} + {delta}) / ({k1} + tf / {norm} + {delta})"),
         "bm25+": ("ln((n + 1) / df)", f"{long} + {delta}"),
@@ -286,7 +286,7 @@ ORACLE_SQL: dict[str, str] = {
     "search_lang_filter": _search_sql(where="WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
     "search_stopwords": _search_sql(stop=True),
     "search_unicode": _search_sql(stop=True, fold=True),
-    "query_analysis": _search_sql(tail="SELECT query_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM qt JOIN dfs USING (term), st"),
+    "query_analysis": _search_sql(tail="SELECT query_id, term, round(ln(1 + (0.5 + n - df) / (0.5 + df)), 6) AS idf FROM qt JOIN dfs USING (term), st"),
     "score_adhoc": _score_sql(f"SELECT r.range AS query_id, item_id AS doc_id, text FROM benchmark, range({len(ASKED)}) r"),
     "score_batch": _score_sql("SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 WHEN 'es' THEN 3 ELSE 5 END AS query_id, doc_id, text FROM documents"),
     "postings": f"WITH {_relations()} SELECT term, doc_id, tf, dl FROM post JOIN lens USING (doc_id)",

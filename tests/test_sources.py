@@ -3,6 +3,7 @@ import json
 import pytest
 
 from termfall import Analyzer, Scoring, build
+from termfall.functions.analysis import MODES
 from termfall.operators import evaluate
 from termfall.operators import search as ops
 from termfall.plans.index import Index
@@ -17,7 +18,7 @@ def relations(index: Index):
 
 
 @pytest.mark.parametrize("stop", [True, False])
-@pytest.mark.parametrize("mode", ["plain", "unicode", "stem", "unicode_stem"])
+@pytest.mark.parametrize("mode", MODES)
 def test_stored_and_loaded(spark, tmp_path, mode, stop):
     index = build(readers.from_list(spark, TEXTS), Analyzer(mode, stop), Scoring("bm25l", 1.1, 0.6, 0.3))
     path = str(tmp_path / "i")
