@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from .common import bounded_batches
 
 #: Encoded pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 #: \s of the split pattern as Unicode's White_Space, spelled out: engines differ on U+001C to U+001F.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"

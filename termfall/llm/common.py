@@ -56,6 +56,18 @@ def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] |
     return df.mapInArrow(run, schema)
 
 
+def by_size(texts: list[str], most: int = 1_000_000) -> Iterator[range]:
+    """Ranges of positions of texts that hold about `most` characters together; a longer text has a range of its own."""
+    start = size = 0
+    for i, t in enumerate(texts):
+        if i > start and size + len(t) > most:
+            yield range(start, i)
+            start, size = i, 0
+        size += len(t)
+    if start < len(texts):
+        yield range(start, len(texts))
+
+
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

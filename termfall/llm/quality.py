@@ -3,7 +3,8 @@
 Spark counts the n-grams of every text of a language (order 4 over 48 character classes, so a model can't grow past
 48^4 entries however large the corpus is). The driver turns the summed counts into a modified Kneser-Ney model: sorted arrays of
 n-gram keys (an n-gram's key is its packed classes, a hash without collisions) with log probabilities, probed by
-vectorised binary search, and dense tables of lower orders for backing off. A document is rejected when a counted rule fails
+vectorised binary search, and dense tables of lower orders for backing off; 4-grams found once are left out, since a text's own
+would vouch for it. A document is rejected when a counted rule fails
 or when its mean negative log probability per character leaves its language's band. The band reaches
 from the median BELOW deviations down and ABOVE deviations up (a deviation is 1.4826 times the median absolute deviation),
 measured over all documents of the language that pass the counted rules, and never less than LEAST_BELOW and LEAST_ABOVE nats.
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, pieces, to_arrow
+from .common import bounded_batches, by_size, checkpointed, pieces, to_arrow
 
 CLASSES = 48
 ORDER = 4
@@ -95,9 +96,9 @@ def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
                 if t:
                     by.setdefault(lang or "", []).append(t)
             for lang, own in by.items():
-                codes, _, _ = _symbols(own)
                 parts = held.setdefault(lang, [])
-                parts.append(np.unique(codes, return_counts=True))
+                for some in by_size(own):
+                    parts.append(np.unique(_symbols([own[i] for i in some])[0], return_counts=True))
                 if sum(len(k) for k, _ in parts) > 2_000_000:
                     held[lang] = [merged(parts)]
         for lang, parts in held.items():
@@ -129,25 +130,31 @@ class KneserNey:
             lower.append(np.bincount(np.flatnonzero(lower[-1]) % size, minlength=size))
         dense = np.full(1, 1 / CLASSES)
         for c in reversed(lower):
-            dense = self._interpolated(np.arange(len(c)), c, dense)[0]
-        probs, gamma = self._interpolated(self.keys, counts, dense, MID)
-        self.values = np.log(probs).astype(np.float32)
+            dense = self._interpolated(c, dense)
+        # n-grams of the top order found once give their mass to backing off: a text's own n-grams would vouch for it.
+        context, twice = self.keys // CLASSES, counts > 1
+        total = np.maximum(np.bincount(context, counts, minlength=MID), 1)
+        own = np.where(twice, counts - _discounts(counts)[np.minimum(counts, 3)], 0.0) / total[context]
+        gamma = np.maximum(1 - np.bincount(context, own, minlength=MID), 1e-12)
+        probs = own + gamma[context] * dense[self.keys % MID]
+        self.keys, self.values = self.keys[twice], np.log(probs[twice]).astype(np.float32)
         self.lower = np.log(dense).astype(np.float32)
         self.backoff = np.log(gamma).astype(np.float32)
 
     @staticmethod
-    def _interpolated(keys: np.ndarray, counts: np.ndarray, below: np.ndarray, contexts: int = 0) -> tuple[np.ndarray, np.ndarray]:
-        contexts = contexts or max(1, len(keys) // CLASSES)
-        d = _discounts(counts)
-        context = keys // CLASSES
-        total = np.bincount(context, counts, minlength=contexts)
-        kind = np.minimum(counts, 3)
-        left = np.bincount(context, d[kind], minlength=contexts)
-        gamma = np.where(total > 0, left / np.maximum(total, 1), 1.0)
-        own = np.where(total[context] > 0, np.maximum(counts - d[kind], 0) / np.maximum(total[context], 1), 0.0)
-        return own + gamma[context] * below[keys % len(below)], gamma
+    def _interpolated(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Probabilities of all n-grams of an order, from their counts and the order below."""
+        d = _discounts(counts)[np.minimum(counts, 3)].reshape(-1, CLASSES)
+        counts = counts.reshape(-1, CLASSES)
+        total = counts.sum(axis=1, keepdims=True)
+        gamma = np.where(total > 0, d.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
+        lower = below.reshape(-1, CLASSES) if len(below) > 1 else below.reshape(1, 1)
+        own = (counts - d) / np.maximum(total, 1)
+        return (own + gamma * np.resize(lower, (len(counts), lower.shape[1]))).ravel()
 
     def log_probs(self, codes: np.ndarray) -> np.ndarray:
+        if not len(self.keys):
+            return self.backoff[codes // CLASSES] + self.lower[codes % MID]
         at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
         hit = self.keys[at] == codes
         out = self.values[at]
@@ -217,14 +224,17 @@ def measures(docs: DataFrame, models: dict[str, KneserNey], text_col: str, lang_
             if t and (lang or "") in shared.value:
                 by.setdefault(lang or "", []).append(i)
         for lang, own in by.items():
-            codes, owner, lens = _symbols([texts[i] for i in own])
-            sums = np.bincount(owner, shared.value[lang].log_probs(codes), minlength=len(own))
-            for i, x in zip(own, -sums / np.maximum(lens, 1), strict=True):
-                nll[i] = float(x)
+            for some in by_size([texts[i] for i in own]):
+                at = [own[i] for i in some]
+                codes, owner, lens = _symbols([texts[i] for i in at])
+                sums = np.bincount(owner, shared.value[lang].log_probs(codes), minlength=len(at))
+                for i, x in zip(at, -sums / np.maximum(lens, 1), strict=True):
+                    nll[i] = float(x)
         counts = list(zip(*map(base_counts, texts), strict=True)) or [[]] * 5
         return pa.StructArray.from_arrays([*[pa.array(list(c), pa.int64()) for c in counts], pa.array(nll, pa.float64())], fields=list(_KIND))
 
-    return measured(F.col(text_col), F.col(lang_col))
+    # Not deterministic for the optimiser, which else runs it again for each filter over its fields.
+    return measured.asNondeterministic()(F.col(text_col), F.col(lang_col))
 
 
 def base_failed(m: str):
@@ -261,6 +271,7 @@ def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     rows = docs.select("*", F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), measures(docs, models, text_col, lang_col).alias("__m"))
     rows = rows.select(*docs.columns, "__lang", F.col("__m.nll").alias("__nll"), base_failed("__m").alias("__failed"))
     passed = rows.filter(~F.col("__failed"))
-    limits = checkpointed(bands(passed.select("__lang", F.col("__nll").alias("nll"))))
+    # Two numbers a document are kept for the bands; texts are scored again for the verdict rather than written.
+    limits = checkpointed(bands(checkpointed(passed.select("__lang", F.col("__nll").alias("nll")))))
     within = F.col("__high").isNull() | F.col("__nll").between(F.col("__low"), F.col("__high"))
     return passed.join(F.broadcast(limits), "__lang", "left").filter(F.coalesce(within, F.lit(True))).select(*docs.columns)

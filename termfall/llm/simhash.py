@@ -61,7 +61,8 @@ def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3, out_co
     def made(texts: pa.Array) -> pa.Array:
         return pa.array(np.array([fingerprint(t, words) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
 
-    return docs.withColumn(out_col, made(F.col(text_col)))
+    # Not deterministic for the optimiser, which else runs it again for a filter on its result.
+    return docs.withColumn(out_col, made.asNondeterministic()(F.col(text_col)))
 
 
 class _Sets:

@@ -326,7 +326,7 @@ def _by_digest(listed: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), h, dtype=np.int32)), pa.array(at), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], schema=arrow)
 
     windows = listed.mapInArrow(run, schema)
-    twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
+    twice = checkpointed(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
     return windows.join(twice, ["w1", "w2"]).select("d", "h", F.col("at").alias("start"), (F.col("at") + LENGTH).alias("stop"))
 
 
@@ -339,7 +339,8 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = sampled(keyed)
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("n > 1")
     kind = F.when(F.col("low") == F.col("high"), F.lit(0)).when(F.col("n") <= hot, F.lit(1)).otherwise(F.lit(2))
-    shared = found.join(grams.select("gram", kind.alias("kind")), "gram")
+    # Written first: then both sides of the join are plain exchanges, which adaptive execution can split at a hot gram.
+    shared = found.join(checkpointed(grams.select("gram", kind.alias("kind"))), "gram")
     places = [F.array_distinct(F.expr(f"collect_list(CASE WHEN kind = {k} THEN place END)")).alias(f"k{k}") for k in range(3)]
     listed = checkpointed(shared.groupBy("d", "h").agg(*places))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -186,6 +186,9 @@ def kneser_ney(texts, codes):
         d = [min(max(x, 0.1 * bool(k)), 0.95 * k) for k, x in enumerate(d)]
         own = {k: v for k, v in c.items() if k // quality.CLASSES == code // quality.CLASSES}
         total = sum(own.values())
+        if level == 0 and total:
+            kept = {k: (v - d[min(v, 3)]) / total for k, v in own.items() if v > 1}
+            return kept.get(code, 0) + (1 - sum(kept.values())) * prob(code % quality.MID, 1)
         lower = prob(code % (quality.CLASSES ** (len(levels) - level - 1)), level + 1)
         if not total:
             return lower
@@ -207,7 +210,7 @@ def test_quality_of_documents(spark):
     r = random.Random(4)
     vocabulary = ["".join(r.choice("aeiou") + r.choice("nrstl") for _ in range(r.randint(1, 3))) for _ in range(300)]
     texts = [" ".join(r.choice(vocabulary) for _ in range(120)) for _ in range(60)]
-    texts += [None, "", "short", "same word here " * 60, " ".join("".join(r.choice("qxzjkvw0123456789") for _ in range(9)) for _ in range(100)), " ".join(f"{r.choice(vocabulary)}{'&&&' * 4}" for _ in range(90))]
+    texts += [None, "", "short", "same word here " * 60, " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(100)), " ".join(f"{r.choice(vocabulary)}{'&&&' * 4}" for _ in range(90))]
     docs = frame(spark, texts)
     got = {x.doc_id: x for x in quality.score_quality(docs).collect()}
     assert all(got[i].kept and not got[i].base_failed for i in range(60))
