@@ -18,12 +18,16 @@ from .stemmer import stem
 
 MODES = ("plain", "unicode", "stem", "unicode_stem")
 
+#: The English stopwords, in their published order.
 STOPWORDS = frozenset(
-    "themselves yourselves ourselves yourself himself herself between further against should itself myself during having theirs could "
-    "would there where these above being doing which until shall again under other after their yours might ought about below every need "
-    "once same some dare here more have each such with both will them whom from than been then when into over your does this hers ours "
-    "that what most just they only very had did and she the are all him can don own who too her for our has was his its not but out you "
-    "few how now why be he me re ve we if of ll am an in on do no so to up or as is at it by my a d i m o s t".split()
+    """
+    a an and are as at be but by for if in into is it no not of on or such that the their then there these they this to was will with
+    i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself its itself them theirs themselves
+    what which who whom when where why how all each every both few more most other some
+    am been being do does did doing would should could ought might shall can need dare had has have having
+    about above after again against below between during from further here once only out over same so than too under until up very own just
+    don now d ll m o re s t ve
+    """.split()
 )
 
 #: Chunks that a worker remembers before it starts anew.

@@ -7,7 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-METHODS = ("atire", "bm25+", "bm25l", "lucene", "robertson")
+#: The names of the formulas.
+METHODS = ("lucene", "robertson", "atire", "bm25l", "bm25+")
 
 
 @dataclass(frozen=True)
@@ -30,9 +31,9 @@ class Scoring:
         """Inverse document frequency of a term in df of n documents."""
         n, df = n.cast("double"), df.cast("double")
         if self.method == "lucene":
-            return F.log(1 + (0.5 + n - df) / (0.5 + df))
+            return F.log(1 + (n - df + 0.5) / (df + 0.5))
         if self.method == "robertson":
-            return F.greatest(F.lit(0.0), F.log((0.5 + n - df) / (0.5 + df)))
+            return F.greatest(F.lit(0.0), F.log((n - df + 0.5) / (df + 0.5)))
         if self.method == "atire":
             return F.log(n / df)
         return F.log((n + 1) / (df + 0.5 if self.method == "bm25l" else df))
