@@ -196,10 +196,9 @@ def title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The first ten words of each toxic document ask for that document."""
+    """The whole text of each toxic document asks for that document."""
     texts = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct().join(_docs(spark, sf_dir), "doc_id")
-    start = F.array_join(F.slice(F.split("text", "[ \n]"), 1, 10), " ")
-    return texts.select(F.col("doc_id").alias("query_id"), start.alias("query")), texts.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(1).alias("rel"))
+    return texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), texts.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(1).alias("rel"))
 
 
 def ndcg_known_item(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,7 +224,7 @@ def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.synthetic(spark, 1000, TERMS + ASKED[1:4])
 
 
-_KNOWN_SQL = "SELECT doc_id AS query_id, array_to_string(list_slice(regexp_split_to_array(text, '[ \\n]'), 1, 10), ' ') AS query FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+_KNOWN_SQL = "SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
 _NDCG_SQL = "SELECT q.query_id, round(coalesce(1 / log2(rank + 1), 0.0), 6) AS ndcg FROM q LEFT JOIN ranked r ON r.query_id = q.query_id AND r.doc_id = q.query_id"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
