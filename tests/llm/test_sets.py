@@ -367,3 +367,43 @@ def test_pipeline_stages_on_a_fixture(spark, tmp_path):
     got = corpus_pipeline.run(spark, str(tmp_path)).collect()
     codec = bpe.Codec(bpe.read_ranks(bpe.production()[0]), bpe.production()[1])
     assert sorted((x.doc_id, tuple(x.ids)) for x in got) == sorted((x.doc_id, tuple(codec.encode(x.text))) for x in docs.collect())
+
+
+# Near-dedup by shingle similarity
+
+
+def similar_brute(texts, ids):
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[i : i + 5]) for i in range(max(len(w) - 4, min(len(w), 1)))})
+    near = np.array([[(len(a & b) / len(a | b) if a | b else 1.0) >= 0.8 for b in sets] for a in sets])
+    at = np.arange(len(texts))
+    for _ in texts:
+        at = np.array([at[row].min() for row in near])
+    return np.array(ids)[at]
+
+
+def test_near_copies_beyond_the_simhash_budget_are_dropped(spark):
+    import corpus_pipeline
+
+    r = random.Random(31)
+    texts = []
+    for changes in (1, 2, 3, 4, 5, 8, 12):
+        words = [f"w{r.randrange(3000)}" for _ in range(220)]
+        texts.append(" ".join(words))
+        for _ in range(3):
+            copy = words[:]
+            for i in r.sample(range(220), changes):
+                copy[i] = f"v{r.randrange(3000)}"
+            texts.append(" ".join(copy))
+    texts += [None, "", " ", "one", "ONE", "one two three four five six"]
+    docs = spark.createDataFrame([(i * 2, t, "c") for i, t in enumerate(texts)], "doc_id bigint, text string, fp string")
+    want = sorted(set(similar_brute(texts, [i * 2 for i in range(len(texts))]).tolist()))
+    out = corpus_pipeline.drop_near_copies(spark, docs.unionByName(docs), "")
+    assert out.columns == docs.columns
+    assert sorted(x.doc_id for x in out.collect()) == want
+    assert len(want) < len(simhash.keep_one(docs).collect())
+    nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c d"), (5, "c d")], "doc_id bigint, text string")
+    assert sorted((x.doc_id for x in corpus_pipeline.drop_near_copies(spark, nulls, "").collect()), key=str) == [5, None]
+    assert corpus_pipeline.drop_near_copies(spark, docs.filter("false"), "").collect() == []
