@@ -42,7 +42,7 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
 _USERINFO = re.compile(r"[^\s/@:?#\"'<>]+(?::[^\s/@?#\"'<>]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
 _TEL = re.compile(r"\+?[0-9](?:[ ().-]?[0-9]){6,14}")
-_ACCOUNT = re.compile(r"(?:\s+(?:number|no|nr|num|nummer|id))?\.?\s{0,3}[:=#]?\s{0,3}\"?([A-Z]{0,2}[0-9][A-Z0-9]*(?:[ -][A-Z0-9]+)*)", re.ASCII)
+_ACCOUNT = re.compile(r"(?:\s+(?i:number|no|nr|num|nummer|id))?\.?\s{0,3}[:=#]?\s{0,3}(?:(?<=[\s:=#])(?i:is|ist|est|es|was|lautet)\b\s{0,3}[:=#]?\s{0,3})?\"?([A-Z]{0,2}[0-9][A-Z0-9]*(?:[ -][A-Z0-9]+)*)", re.ASCII)
 _SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_+/=.-]{8,})")
 
 
@@ -76,6 +76,39 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+#: Characters of an IBAN by country; a country that isn't listed may have any length that fits the checksum.
+_IBAN_LENGTHS = dict(
+    x.split(":")
+    for x in (
+        "AD:24 AE:23 AL:28 AT:20 AZ:28 BA:20 BE:16 BG:22 BH:22 BI:27 BR:29 BY:28 CH:21 CR:22 CY:28 CZ:24 DE:22 DJ:27 DK:18 DO:28 EE:20 EG:29 ES:24 FI:18 FK:18 FO:18 FR:27 GB:22 "
+        "GE:22 GI:23 GL:18 GR:27 GT:28 HR:21 HU:28 IE:22 IL:23 IQ:23 IS:26 IT:27 JO:30 KW:30 KZ:20 LB:28 LC:32 LI:21 LT:20 LU:20 LV:21 LY:25 MC:27 MD:24 ME:22 MK:19 MN:20 MR:27 "
+        "MT:31 MU:30 NI:28 NL:18 NO:15 OM:23 PK:24 PL:28 PS:29 PT:25 QA:29 RO:24 RS:22 RU:33 SA:24 SC:31 SD:18 SE:24 SI:19 SK:24 SM:27 SO:23 ST:25 SV:28 TL:23 TN:24 TR:26 UA:29 VA:22 VG:24 XK:20"
+    ).split()
+)
+#: An account value is never longer than so many characters, blanks included.
+_LONGEST = 80
+
+
+def _account(value: str) -> int | None:
+    """How many characters of the value are an account: the longest run of its groups that is an IBAN, else the longest of an account's size."""
+    ends = [m.start() for m in re.finditer(r"[ -]", value[: _LONGEST + 1])] + [len(value)] * (len(value) <= _LONGEST)
+    for fits in (_whole_iban, _numbered):
+        for end in reversed(ends):
+            # A word after a number, as in "12345678 BIC", isn't part of it.
+            if fits(re.sub(r"[ -]", "", value[:end])) and (fits is _whole_iban or not re.search(r" [A-Z]{3,}$", value[:end])):
+                return end
+    return None
+
+
+def _whole_iban(compact: str) -> bool:
+    return int(_IBAN_LENGTHS.get(compact[:2], len(compact))) == len(compact) and iban(compact)
+
+
+def _numbered(compact: str) -> bool:
+    digits = sum(c.isdigit() for c in compact)
+    return 6 <= digits <= 20 and len(compact) <= 24 and digits >= len(compact) - 3
+
+
 def _email(text: str, at: int, floor: int) -> tuple[int, int] | None:
     start = at
     while start > floor and text[start - 1] in _LOCAL:
@@ -127,12 +160,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         elif what == "account":
             m = _ACCOUNT.match(text, after)
             if m and m.start(1) > after and m.start(1) >= ends["account"]:
-                value = m.group(1)
-                compact = re.sub(r"[ -]", "", value)
-                digits = sum(c.isdigit() for c in compact)
-                if iban(compact) or (6 <= digits <= 20 and len(compact) <= 24 and digits >= len(compact) - 3):
-                    found["account"].append(m.span(1))
-                    ends["account"] = m.end(1)
+                size = _account(m.group(1))
+                if size:
+                    found["account"].append((m.start(1), m.start(1) + size))
+                    ends["account"] = m.start(1) + size
         else:
             m = _SECRET.match(text, after)
             if m and m.start(1) >= ends["secret"] and any(c.isdigit() for c in m.group(1)):

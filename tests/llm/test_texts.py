@@ -53,6 +53,22 @@ def test_added_spans():
     assert kinds("the account of 20 people, a token of thanks, tokens=12345678, https://host.org/a") == []
 
 
+def test_accounts_beside_other_words():
+    def accounts(t):
+        return [t[s:e] for k, s, e in pii.find_spans(t) if k == "account"]
+
+    iban = "DE89370400440532013000"
+    assert accounts(f"IBAN: {iban} BIC COBADEFFXXX") == [iban]
+    assert accounts("IBAN: DE89 3704 0044 0532 0130 00 BIC COBADEFFXXX") == ["DE89 3704 0044 0532 0130 00"]
+    assert accounts("IBAN NL91 ABNA 0417 1643 00 EUR 25") == ["NL91 ABNA 0417 1643 00"]
+    for t in ("Account Number: 12345678", "Account No: 12345678", "ACCOUNT NO. 12345678", "account number is 12345678", "account is: 12345678", "Account No. 12345678 BIC COBADEFFXXX"):
+        assert accounts(t) == ["12345678"], t
+    assert accounts(f"IBAN is {iban}") == [iban]
+    assert accounts(f"Konto Nummer ist {iban}.") == [iban]
+    assert accounts("the account is 20 people, account isabel 12345678, accounts 12345678, Account Number: 12 BIC COBADEFFXXX") == []
+    assert pii.redact(f"IBAN: {iban} BIC X") == "IBAN: [ACCOUNT] BIC X"
+
+
 def test_redaction_and_odd_texts(spark):
     texts = [None, "", "a@b.c", "x" * 200_000, "4111 1111 1111 1111", "a@b.c"]
     got = pii.find_pii(frame(spark, texts)).orderBy("doc_id").collect()
