@@ -220,8 +220,22 @@ def lines_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.split_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
+#: The vocabulary of the reference's corpus generator (benchmarks/generate_corpus.py:7), in its order and with its repetitions.
+SYNTHETIC_WORDS = (
+    "the quick brown fox jumps over lazy dog cat bird fish tree river mountain cloud sun moon star ocean forest desert city road bridge house garden flower "
+    "rain snow wind fire water earth stone metal glass wood paper book page word letter number color light dark red blue green yellow white black small "
+    "large fast slow old new high low deep wide long short round flat sharp soft hard warm cold hot cool dry wet clean dirty bright dim loud quiet sweet "
+    "bitter fresh stale rich poor strong weak heavy light thick thin smooth rough simple complex open closed data science machine learning neural network "
+    "model train test validate predict classify cluster reduce transform encode decode search index query result score rank sort filter group count sum "
+    "average maximum minimum standard deviation variance distribution sample population hypothesis experiment control variable function method class object "
+    "instance attribute value key pair list array vector matrix tensor graph node edge path tree root leaf branch depth algorithm structure pattern design "
+    "system process thread memory storage cache buffer queue stack table column row cell field record database server client request response protocol "
+    "interface module package library framework platform application service"
+).split()
+
+
 def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readers.synthetic(spark, 1000, TERMS + ASKED[1:4])
+    return readers.synthetic(spark, 100_000, SYNTHETIC_WORDS)
 
 
 _KNOWN_SQL = "SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"

@@ -23,3 +23,10 @@ def test_query_equals_its_sql(spark, duck, name):
         want = duck.sql(retrieval.ORACLE_SQL[name]).df()
         assert sorted(got.columns) == sorted(want.columns)
         assert rows(got, got.columns) == rows(want, want.columns)
+
+
+def test_synthetic_corpus_is_as_large_as_the_references(spark):
+    docs = retrieval.QUERIES["synthetic_corpus"](spark, SF).selectExpr("doc_id", "split(text, ' ') AS words")
+    got = docs.selectExpr("count(DISTINCT doc_id) AS n", "min(size(words)) AS least", "max(size(words)) AS most").first()
+    assert tuple(got) == (100_000, 20, 200)
+    assert {x.w for x in docs.selectExpr("explode(words) AS w").distinct().collect()} == set(retrieval.SYNTHETIC_WORDS)
