@@ -1,15 +1,21 @@
-"""Shared plumbing: table access, bounded Arrow batches, reliable checkpoints."""
+"""Shared plumbing: table access, slices of bounded bytes, reliable cuts in the shared folder."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-#: Rows that one Arrow batch holds; a batch of long texts stays in tens of MB.
-BATCH_ROWS = 400
+#: Bytes of text that Python code works on at a time; Spark bounds the Arrow batches themselves by 64 MB.
+SLICE_BYTES = 4 << 20
+#: Rows that may be broadcast by hint; more are joined by a shuffle.
+MOST_BROADCAST = 50_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,11 +23,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bounded_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
-    """Keep Python workers' memory bounded: texts are long, so batches are short."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)
@@ -29,7 +30,7 @@ def shared_dir(spark: SparkSession) -> str:
     if given:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(given)
-        return given
+        return given.rstrip("/")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoints-"))
     return sc.getCheckpointDir()
@@ -41,33 +42,57 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str, rows: int = BATCH_ROWS) -> DataFrame:
-    """mapInArrow with columns as Python lists; fn may return None for no rows."""
-    bounded_batches(df.sparkSession, rows)
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Cut the lineage with a Parquet table in the shared folder, which takes less disk than a checkpoint and can be read by columns."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def few(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
+    """Whether df has at most so many rows."""
+    return df.limit(most + 1).count() <= most
+
+
+def joined(df: DataFrame, small: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join that broadcasts the other side if it has few rows."""
+    return df.join(F.broadcast(small) if few(small) else small, on, how)
+
+
+def size_of(df: DataFrame) -> int:
+    """Bytes of df as the optimiser estimates them; for a table that is read, the size of its files. Unknown sizes count as 1 PB."""
+    return min(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())), 1 << 50)
+
+
+def ranges(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, length) of runs of strings that hold about `most` bytes together; a longer string has a run of its own."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = before = 0
+    while start < len(size):
+        stop = max(start + 1, int(np.searchsorted(size, before + most, "right")))
+        yield start, stop - start
+        start, before = stop, int(size[stop - 1])
+
+
+def slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[list[str | None]]:
+    """The strings as lists of about `most` bytes."""
+    for start, n in ranges(column, most):
+        yield column.slice(start, n).to_pylist()
+
+
+def map_slices(df: DataFrame, text_at: int, fn: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
+    """mapInArrow over slices of bounded bytes (of the column at text_at); fn yields columns."""
     arrow = to_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                out = fn({name: batch.column(i).to_pylist() for i, name in enumerate(batch.schema.names)})
-                if out:
+            for start, n in ranges(batch.column(text_at)):
+                for out in fn(batch.slice(start, n)):
                     yield from pieces(out, arrow)
 
     return df.mapInArrow(run, schema)
 
 
-def by_size(texts: list[str], most: int = 1_000_000) -> Iterator[range]:
-    """Ranges of positions of texts that hold about `most` characters together; a longer text has a range of its own."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > most:
-            yield range(start, i)
-            start, size = i, 0
-        size += len(t)
-    if start < len(texts):
-        yield range(start, len(texts))
-
-
 def to_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import StructType

@@ -1,13 +1,22 @@
-"""Quality rules: counted rules plus perplexity under a modified Kneser-Ney character model per language.
-
-Spark counts the n-grams of every text of a language (order 4 over 48 character classes, so a model can't grow past
-48^4 entries however large the corpus is). The driver turns the summed counts into a modified Kneser-Ney model: sorted arrays of
-n-gram keys (an n-gram's key is its packed classes, a hash without collisions) with log probabilities, probed by
-vectorised binary search, and dense tables of lower orders for backing off; 4-grams found once are left out, since a text's own
-would vouch for it. A document is rejected when a counted rule fails
-or when its mean negative log probability per character leaves its language's band. The band reaches
-from the median BELOW deviations down and ABOVE deviations up (a deviation is 1.4826 times the median absolute deviation),
-measured over all documents of the language that pass the counted rules, and never less than LEAST_BELOW and LEAST_ABOVE nats.
+"""Quality rules: counted rules plus perplexity under a modified Kneser-Ney model of characters per language.
+
+The model has n-grams of ORDER code points, kept apart by case, digit and sign. It is a table that grows with the corpus and is never
+broadcast or collected; documents meet the part of it that they ask for:
+
+1. Texts are packed into chunks of one language (compressed Arrow streams of about CHUNK bytes, one row each).
+2. Each chunk counts its distinct n-grams, and in how many texts each is found. Sums over the chunks are the corpus counts. An n-gram is
+   two longs, so contexts and suffixes are shifts and masks.
+3. Spark turns counts into probabilities, level by level: raw counts at the top, counts of distinct characters to the left below,
+   three discounts per language and level, interpolation down to the uniform distribution. n-grams found in one text only
+   don't count (a text's own would vouch for it); they are asked for, and back off.
+4. The probabilities go back to the chunks that asked, by a plain join: a chunk's part of the model is two sorted arrays, hashed keys
+   and log probabilities, probed by vectorised binary search at each position of its texts.
+
+A document is rejected when a counted rule fails or when its mean negative log probability per character leaves its language's
+band. A text of L characters deviates by chance as sqrt(1 / L + 1 / LONG) does; with that as unit, the band reaches from the median
+BELOW scales down and ABOVE scales up, a scale being 1.4826 times the median absolute deviation, LEAST_SCALE at least. Medians are taken over
+all documents of the language that pass the counted rules. The reaches were set on labelled rows: the README has the share of clean
+and of bad documents beyond them.
 
 Edge cases: null and empty texts have no words and fail the base rule; a null language is a language of its own, the
 empty string; a text of whitespace only has no words; texts are read whole; repeated rows count as often as they stand there;
@@ -18,160 +27,247 @@ more; extra columns are passed by (score_quality) or kept (keep_quality).
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import bounded_batches, by_size, checkpointed, pieces, to_arrow
+from .common import joined, map_slices, pieces, shared_dir, size_of, slices, to_arrow, written
 
-CLASSES = 48
-ORDER = 4
-TOP = CLASSES**ORDER
-MID = CLASSES ** (ORDER - 1)
+ORDER = 5
+#: Bytes of text in a chunk, about, and in an input task at least (as files hold them).
+CHUNK, TASK = 16 << 20, 32 << 20
 #: Documents with fewer words fail.
 LEAST_WORDS = 50
-#: Reach of a band below and above the median, in deviations, and its least reach in nats a character. Texts that
-#: repeat a few signs are too predictable and lie just below ordinary ones; texts in two languages lie above them and stay.
-BELOW, LEAST_BELOW = 4.5, 0.1
-ABOVE, LEAST_ABOVE = 25.0, 0.6
-#: Languages that a broadcast model may hold: each has 48^4 entries of 8 bytes at most.
-MOST_LANGUAGES = 256
+#: Reach of a band below and above the median, in scales; the least scale; characters beyond which a text's deviation hardly falls.
+BELOW, ABOVE, LEAST_SCALE, LONG = 5.0, 6.0, 0.2, 5_000
+#: Characters of a text that are counted at a time.
+WINDOW = 2_000_000
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
-_PAD = "\n\n\n"
-
-
-@lru_cache(1)
-def _classes() -> np.ndarray:
-    """The class of each code point of the basic plane: space, digit, other, a to z, other letters in 19 groups."""
-    out = np.full(65_536, 2, dtype=np.uint8)
-    for cp in range(65_536):
-        ch = chr(cp)
-        if "a" <= ch <= "z":
-            out[cp] = 3 + cp - 97
-        elif ch.isspace():
-            out[cp] = 0
-        elif ch.isdigit():
-            out[cp] = 1
-        elif ch.isalpha():
-            out[cp] = 29 + cp % 19
-    return out
-
-
-def _symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packed 4-grams ending at each character of the texts, the text each belongs to, and the texts' lengths."""
-    lowered = [t.lower() for t in texts]
-    points = np.frombuffer((_PAD + _PAD.join(lowered)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    table = _classes()
-    s = np.where(points < 65_536, table[np.minimum(points, 65_535)], 29 + points % 19).astype(np.int32)
-    codes = ((s[:-3] * CLASSES + s[1:-2]) * CLASSES + s[2:-1]) * CLASSES + s[3:]
-    lens = np.array([len(t) for t in lowered], dtype=np.int64)
-    owner = np.repeat(np.arange(len(texts)), lens)
-    # Text i starts after i + 1 pads; the code at position p - 3 ends at character p.
-    at = np.arange(len(owner)) + 3 * owner
-    return codes[at], owner, lens
+#: Stands before a text's first character.
+_PAD = "\n" * (ORDER - 1)
+#: Bits of a code point in a packed n-gram: its first two characters are in `hi`, the last three in `lo`.
+_BITS = 21
+_MASK = (1 << _BITS) - 1
+
 
+def _packed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """hi and lo of the n-gram that ends at each position from the fifth on."""
+    p = points.astype(np.int64)
+    n = len(p) - ORDER + 1
+    return p[:n] << _BITS | p[1 : n + 1], p[2 : n + 2] << 2 * _BITS | p[3 : n + 3] << _BITS | p[4 : n + 4]
 
-def count_ngrams(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """(lang, code, n) summed over all texts; each task adds up its own texts first."""
-    bounded_batches(docs.sparkSession)
-    schema = "lang string, code int, n bigint"
-    arrow = to_arrow(docs.sparkSession, schema)
+
+def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """hi and lo of the n-grams that end at each character of the texts, and the text each belongs to."""
+    points = np.frombuffer((_PAD + _PAD.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    lens = np.array([len(t) for t in texts], dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), lens)
+    at = np.arange(len(owner)) + (ORDER - 1) * owner
+    hi, lo = _packed(points)
+    return hi[at], lo[at], owner
+
+
+def _windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """hi and lo of a long text's n-grams, part by part."""
+    padded = _PAD + text
+    for at in range(0, len(text), WINDOW):
+        yield _packed(np.frombuffer(padded[at : at + WINDOW + ORDER - 1].encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
+
+
+def _summed(hi: np.ndarray, lo: np.ndarray, *more: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Distinct n-grams in order, and the sums of each further array over them."""
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    first = np.flatnonzero(np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))))
+    return hi[first], lo[first], *[np.add.reduceat(m[order], first) for m in more]
+
+
+def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """hi, lo, count and number of texts of each distinct n-gram of non-empty texts."""
+    if len(texts) == 1 and len(texts[0]) > WINDOW:
+        found = [_summed(*x, np.ones(len(x[0]), dtype=np.int64)) for x in _windows(texts[0])]
+        hi, lo, n = _summed(*map(np.concatenate, zip(*found, strict=True)))
+        return hi, lo, n, np.ones(len(n), dtype=np.int64)
+    hi, lo, owner = _laid(texts)
+    # Characters by number: few enough of them let n-gram and text share one integer, which sorts fast.
+    signs = np.unique(np.concatenate((lo & _MASK, np.array([ord("\n")]))))
+    base = len(signs)
+    if base**ORDER * len(texts) < 1 << 63:
+        rank = np.zeros(int(signs[-1]) + 1, dtype=np.int64)
+        rank[signs] = np.arange(base)
+        code = rank[hi >> _BITS]
+        for x in (hi & _MASK, lo >> 2 * _BITS, lo >> _BITS & _MASK, lo & _MASK):
+            code = code * base + rank[x]
+        both = np.sort(code * len(texts) + owner)
+        code = both // len(texts)
+        first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
+        texts_of = np.add.reduceat(np.concatenate(([1], (both[1:] != both[:-1]).astype(np.int64))), first)
+        n, code = np.diff(np.append(first, len(code))), code[first]
+        c = [signs[code // base**k % base].astype(np.int64) for k in range(ORDER - 1, -1, -1)]
+        return c[0] << _BITS | c[1], c[2] << 2 * _BITS | c[3] << _BITS | c[4], n, texts_of
+    order = np.lexsort((owner, lo, hi))
+    hi, lo, owner = hi[order], lo[order], owner[order]
+    new = np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
+    first = np.flatnonzero(new)
+    other = new | np.concatenate(([True], owner[1:] != owner[:-1]))
+    return hi[first], lo[first], np.diff(np.append(first, len(hi))), np.add.reduceat(other.astype(np.int64), first)
+
+
+def _key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of packed n-grams."""
+    x = hi.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ lo.view(np.uint64)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+class Part:
+    """A part of a model: sorted hashes of n-grams and their log probabilities."""
+
+    def __init__(self, hi: np.ndarray, lo: np.ndarray, log_probs: np.ndarray) -> None:
+        keys = _key(hi, lo)
+        order = np.argsort(keys)
+        self.keys, self.values = keys[order], log_probs[order]
+
+    def of(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+        """Log probabilities; every n-gram must be there."""
+        asked = _key(hi, lo)
+        at = np.searchsorted(self.keys, asked)
+        if len(asked) and (at.max() >= len(self.keys) or not np.array_equal(self.keys[at], asked)):
+            raise LookupError("an n-gram that was not asked for")
+        return self.values[at]
+
+    def sums(self, texts: list[str]) -> np.ndarray:
+        """The summed log probabilities of each non-empty text."""
+        if len(texts) == 1 and len(texts[0]) > WINDOW:
+            return np.array([sum(float(self.of(*x).sum()) for x in _windows(texts[0]))])
+        hi, lo, owner = _laid(texts)
+        return np.bincount(owner, self.of(hi, lo), minlength=len(texts))
+
+
+def _written(batches: list[pa.RecordBatch]) -> bytes:
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for b in batches:
+            writer.write_batch(b)
+    return out.getvalue().to_pybytes()
+
+
+def _read(stored: pa.Scalar) -> pa.Table:
+    return pa.ipc.open_stream(stored.as_buffer()).read_all().combine_chunks()
+
+
+_CHUNKS = "chunk bigint, lang string, rows binary"
+
+
+def chunks(rows: DataFrame) -> DataFrame:
+    """Rows (lang, text, ...) packed by task and language: (chunk, lang, rows)."""
+    arrow = to_arrow(rows.sparkSession, _CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[tuple[np.ndarray, np.ndarray]]] = {}
+        from pyspark import TaskContext
 
-        def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-            keys, back = np.unique(np.concatenate([k for k, _ in parts]), return_inverse=True)
-            return keys, np.bincount(back, np.concatenate([n for _, n in parts])).astype(np.int64)
+        held: dict[str, list[pa.RecordBatch]] = {}
+        size: dict[str, int] = {}
+        number = TaskContext.get().partitionId() << 32
+
+        def flush(lang: str) -> pa.RecordBatch:
+            nonlocal number
+            number += 1
+            size.pop(lang)
+            return pa.RecordBatch.from_pylist([{"chunk": number - 1, "lang": lang, "rows": _written(held.pop(lang))}], schema=arrow)
 
         for batch in batches:
-            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            by: dict[str, list[str]] = {}
-            for t, lang in zip(texts, langs, strict=True):
-                if t:
-                    by.setdefault(lang or "", []).append(t)
-            for lang, own in by.items():
-                parts = held.setdefault(lang, [])
-                for some in by_size(own):
-                    parts.append(np.unique(_symbols([own[i] for i in some])[0], return_counts=True))
-                if sum(len(k) for k, _ in parts) > 2_000_000:
-                    held[lang] = [merged(parts)]
-        for lang, parts in held.items():
-            keys, n = merged(parts)
-            yield from pieces({"lang": [lang] * len(keys), "code": keys, "n": n}, arrow)
-
-    counted = docs.select(F.col(text_col), F.col(lang_col)).mapInArrow(run, schema)
-    return counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
-
-
-def _discounts(counts: np.ndarray) -> np.ndarray:
-    """Modified Kneser-Ney discounts for counts 0, 1, 2 and 3 or more."""
-    n1, n2, n3, n4 = (float((counts == k).sum()) for k in (1, 2, 3, 4))
-    y = n1 / (n1 + 2 * n2) if n1 and n2 else 0.5
-    raw = [0.0, 1 - 2 * y * n2 / n1 if n1 else 0.5, 2 - 3 * y * n3 / n2 if n2 else 1.0, 3 - 4 * y * n4 / n3 if n3 else 1.5]
-    return np.array([min(max(d, 0.1 * bool(k)), 0.95 * k) for k, d in enumerate(raw)])
-
-
-class KneserNey:
-    """The model of one language: sorted keys with log probabilities, backoff weights and dense lower orders."""
-
-    def __init__(self, codes: np.ndarray, counts: np.ndarray) -> None:
-        order = np.argsort(codes)
-        self.keys, counts = codes[order].astype(np.int32), counts[order].astype(np.int64)
-        # Continuation counts of the lower orders: how many classes stand to the left.
-        lower = [np.bincount(self.keys % MID, minlength=MID)]
-        while len(lower[-1]) > CLASSES:
-            size = len(lower[-1]) // CLASSES
-            lower.append(np.bincount(np.flatnonzero(lower[-1]) % size, minlength=size))
-        dense = np.full(1, 1 / CLASSES)
-        for c in reversed(lower):
-            dense = self._interpolated(c, dense)
-        # n-grams of the top order found once give their mass to backing off: a text's own n-grams would vouch for it.
-        context, twice = self.keys // CLASSES, counts > 1
-        total = np.maximum(np.bincount(context, counts, minlength=MID), 1)
-        own = np.where(twice, counts - _discounts(counts)[np.minimum(counts, 3)], 0.0) / total[context]
-        gamma = np.maximum(1 - np.bincount(context, own, minlength=MID), 1e-12)
-        probs = own + gamma[context] * dense[self.keys % MID]
-        self.keys, self.values = self.keys[twice], np.log(probs[twice]).astype(np.float32)
-        self.lower = np.log(dense).astype(np.float32)
-        self.backoff = np.log(gamma).astype(np.float32)
-
-    @staticmethod
-    def _interpolated(counts: np.ndarray, below: np.ndarray) -> np.ndarray:
-        """Probabilities of all n-grams of an order, from their counts and the order below."""
-        d = _discounts(counts)[np.minimum(counts, 3)].reshape(-1, CLASSES)
-        counts = counts.reshape(-1, CLASSES)
-        total = counts.sum(axis=1, keepdims=True)
-        gamma = np.where(total > 0, d.sum(axis=1, keepdims=True) / np.maximum(total, 1), 1.0)
-        lower = below.reshape(-1, CLASSES) if len(below) > 1 else below.reshape(1, 1)
-        own = (counts - d) / np.maximum(total, 1)
-        return (own + gamma * np.resize(lower, (len(counts), lower.shape[1]))).ravel()
-
-    def log_probs(self, codes: np.ndarray) -> np.ndarray:
-        if not len(self.keys):
-            return self.backoff[codes // CLASSES] + self.lower[codes % MID]
-        at = np.minimum(np.searchsorted(self.keys, codes), len(self.keys) - 1)
-        hit = self.keys[at] == codes
-        out = self.values[at]
-        miss = codes[~hit]
-        out[~hit] = self.backoff[miss // CLASSES] + self.lower[miss % MID]
-        return out
-
-
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> dict[str, KneserNey]:
-    """A model for each language, from all texts. Its size is bounded by the classes and the number of languages."""
-    counted = count_ngrams(docs, text_col, lang_col).toArrow()
-    langs = np.array(counted["lang"].to_pylist(), dtype=object)
-    codes, n = counted["code"].to_numpy(), counted["n"].to_numpy()
-    names = sorted(set(langs))
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; a broadcast model may hold {MOST_LANGUAGES}")
-    return {x: KneserNey(codes[langs == x], n[langs == x]) for x in names}
+            which = batch.column(0).dictionary_encode()
+            for i, lang in enumerate(which.dictionary.to_pylist()):
+                own = batch.filter(pc.equal(which.indices, i))
+                held.setdefault(lang, []).append(own)
+                size[lang] = size.get(lang, 0) + own.nbytes
+                if size[lang] >= CHUNK:
+                    yield flush(lang)
+            while sum(size.values()) > 2 * CHUNK:
+                yield flush(max(size, key=size.get))
+        for lang in list(held):
+            yield flush(lang)
+
+    spark = rows.sparkSession
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size_of(rows) // TASK))
+    return written(rows.coalesce(tasks).mapInArrow(run, _CHUNKS), "chunks")
+
+
+def asked(packed: DataFrame) -> DataFrame:
+    """(chunk, lang, hi, lo, n, texts): the distinct n-grams of each chunk."""
+    schema = "chunk bigint, lang string, hi bigint, lo bigint, n bigint, texts bigint"
+    arrow = to_arrow(packed.sparkSession, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for chunk, lang, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                found = []
+                for texts in slices(_read(stored).column(1).chunk(0)):
+                    if own := [t for t in texts if t]:
+                        found.append(ngrams(own))
+                if found:
+                    hi, lo, n, texts = _summed(*map(np.concatenate, zip(*found, strict=True)))
+                    yield from pieces({"chunk": np.full(len(hi), chunk), "lang": [lang] * len(hi), "hi": hi, "lo": lo, "n": n, "texts": texts}, arrow)
+
+    return written(packed.mapInArrow(run, schema), "ngrams")
+
+
+def _discounts(counted: DataFrame) -> DataFrame:
+    """(lang, d1, d2, d3): the discounts for counts of 1, 2 and 3 or more of (lang, c)."""
+    n = counted.groupBy("lang").agg(*[F.count_if(F.col("c") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)])
+    n1, n2, n3, n4 = (F.col(f"n{k}") for k in (1, 2, 3, 4))
+    y = F.when((n1 > 0) & (n2 > 0), n1 / (n1 + 2 * n2)).otherwise(0.5)
+    raw = [F.when(n1 > 0, 1 - 2 * y * n2 / n1).otherwise(0.5), F.when(n2 > 0, 2 - 3 * y * n3 / n2).otherwise(1.0), F.when(n3 > 0, 3 - 4 * y * n4 / n3).otherwise(1.5)]
+    return n.select("lang", *[F.least(F.greatest(d, F.lit(0.1)), F.lit(0.95 * k)).alias(f"d{k}") for k, d in enumerate(raw, 1)])
+
+
+#: By level (n-grams of so many characters): the columns that tell an n-gram, its context and its suffix.
+def _keys(level: int) -> tuple[list[Column], list[Column], list[Column]]:
+    hi, lo = F.col("hi"), F.col("lo")
+    kept = {5: [hi, lo], 4: [hi.bitwiseAND(F.lit(_MASK)), lo], 3: [F.lit(0).cast("bigint"), lo], 2: [F.lit(0).cast("bigint"), lo.bitwiseAND(F.lit((1 << 2 * _BITS) - 1))], 1: [F.lit(0).cast("bigint"), lo.bitwiseAND(F.lit(_MASK))]}
+    own = kept[level]
+    return own, [own[0], F.shiftright(own[1], _BITS)], kept[level - 1] if level > 1 else []
+
+
+def probabilities(counts: DataFrame) -> DataFrame:
+    """(lang, hi, lo, p) of counts (lang, hi, lo, c): modified Kneser-Ney; n-grams with c = 0 are asked for only."""
+    levels = {ORDER: counts.select("lang", "hi", "lo", "c")}
+    for k in range(ORDER - 1, 0, -1):
+        hi, lo = _keys(k)[0]
+        levels[k] = levels[k + 1].groupBy("lang", hi.alias("hi"), lo.alias("lo")).agg(F.count_if(F.col("c") > 0).alias("c"))
+    below = None
+    for k in range(1, ORDER + 1):
+        own, context, suffix = _keys(k)
+        rows = levels[k].join(_discounts(levels[k]), "lang")
+        c = F.col("c")
+        cut = F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).when(c == 1, F.col("d1")).otherwise(0.0)
+        # A context's n-grams are as many as there are characters, at most.
+        by = Window.partitionBy("lang", *context)
+        rows = rows.withColumns({"cut": cut, "total": F.sum("c").over(by), "gamma": F.sum(cut).over(by), "signs": F.count("*").over(by)})
+        gamma = F.when(F.col("total") > 0, F.col("gamma") / F.col("total")).otherwise(1.0)
+        mine = F.when(c > 0, (c - F.col("cut")) / F.col("total")).otherwise(0.0)
+        if below is None:
+            below = rows.select("lang", "hi", "lo", (mine + gamma / F.col("signs")).alias("p"))
+        else:
+            rows = rows.select("lang", "hi", "lo", mine.alias("mine"), gamma.alias("gamma"), suffix[0].alias("shi"), suffix[1].alias("slo"))
+            low = below.select(F.col("lang").alias("slang"), F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("sp"))
+            rows = rows.join(low, (rows["lang"] == low["slang"]) & (rows["shi"] == low["shi"]) & (rows["slo"] == low["slo"]))
+            below = rows.select("lang", "hi", "lo", (F.col("mine") + F.col("gamma") * F.col("sp")).alias("p"))
+    return below
+
+
+def fit(found: DataFrame) -> DataFrame:
+    """The model (lang, hi, lo, p) of the chunks' n-grams: a row for each that is found anywhere."""
+    sums = found.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
+    return probabilities(written(sums.select("lang", "hi", "lo", F.when(F.col("texts") > 1, F.col("n")).otherwise(0).alias("c")), "counts"))
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -193,9 +289,8 @@ def repeated_words(words: list[bytes]) -> int:
     m = np.uint64(len(seen))
     pair = ids[:-1] * m + ids[1:]
     if len(seen) >= 2_000_000:
+        # Numbered by pair: the product with a word's number stays below 2^64 for texts of under 2^32 words.
         pair = np.unique(pair, return_inverse=True)[1].astype(np.uint64)
-        if len(seen) * n >= 1 << 63:
-            raise ValueError("a text of over 2^63 pairs of words")
     key = pair[:-1] * m + ids[2:]
     _, back, times = np.unique(key, return_inverse=True, return_counts=True)
     twice = times[back] > 1
@@ -206,72 +301,80 @@ def repeated_words(words: list[bytes]) -> int:
 
 
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-_DDL = "struct<" + ", ".join(f"{c}: bigint" for c in _COUNTS) + ", nll: double>"
-_KIND = pa.struct([*[(c, pa.int64()) for c in _COUNTS], ("nll", pa.float64())])
-
-
-def measures(docs: DataFrame, models: dict[str, KneserNey], text_col: str, lang_col: str):
-    """A struct column: the counts, and the mean negative log probability of a character (null without a text or model)."""
-    bounded_batches(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(models)
-
-    @F.arrow_udf(_DDL)
-    def measured(texts: pa.Array, langs: pa.Array) -> pa.Array:
-        texts, langs = texts.to_pylist(), langs.to_pylist()
-        nll: list[float | None] = [None] * len(texts)
-        by: dict[str, list[int]] = {}
-        for i, (t, lang) in enumerate(zip(texts, langs, strict=True)):
-            if t and (lang or "") in shared.value:
-                by.setdefault(lang or "", []).append(i)
-        for lang, own in by.items():
-            for some in by_size([texts[i] for i in own]):
-                at = [own[i] for i in some]
-                codes, owner, lens = _symbols([texts[i] for i in at])
-                sums = np.bincount(owner, shared.value[lang].log_probs(codes), minlength=len(at))
-                for i, x in zip(at, -sums / np.maximum(lens, 1), strict=True):
-                    nll[i] = float(x)
-        counts = list(zip(*map(base_counts, texts), strict=True)) or [[]] * 5
-        return pa.StructArray.from_arrays([*[pa.array(list(c), pa.int64()) for c in counts], pa.array(nll, pa.float64())], fields=list(_KIND))
-
-    # Not deterministic for the optimiser, which else runs it again for each filter over its fields.
-    return measured.asNondeterministic()(F.col(text_col), F.col(lang_col))
-
-
-def base_failed(m: str):
-    n = F.col(f"{m}.n_words")
-    return (n < LEAST_WORDS) | (100 * F.col(f"{m}.n_repeat_words") > 50 * n)
+#: What is measured of each text; nll: the mean negative log probability of a character, chars: their number.
+_MEASURES = StructType([*[StructField(f"m_{c}", LongType()) for c in _COUNTS], StructField("m_chars", LongType()), StructField("m_nll", DoubleType())])
 
 
-def bands(scored: DataFrame) -> DataFrame:
-    """(lang, low, high) from rows (lang, nll) by mergeable sketches: no language's rows meet in one task."""
-    middle = scored.groupBy("__lang").agg(F.percentile_approx("nll", 0.5, 10_000).alias("__mid"))
-    spread = scored.join(F.broadcast(middle), "__lang").groupBy("__lang", "__mid").agg(F.percentile_approx(F.abs(F.col("nll") - F.col("__mid")), 0.5, 10_000).alias("__mad"))
-    low, high = (F.greatest(F.lit(least), F.lit(reach * 1.4826) * F.col("__mad")) for reach, least in ((BELOW, LEAST_BELOW), (ABOVE, LEAST_ABOVE)))
-    return spread.select("__lang", (F.col("__mid") - low).alias("__low"), (F.col("__mid") + high).alias("__high"))
+def measured(rows: DataFrame, kept: list[int]) -> DataFrame:
+    """Rows (lang, text, ...) as the columns at `kept`, the language, and what _MEASURES says."""
+    packed = chunks(rows)
+    found = asked(packed)
+    model = fit(found).select("lang", "hi", "lo", F.log("p").cast("float").alias("lp"))
+    parts = found.select("chunk", "lang", "hi", "lo").join(model, ["lang", "hi", "lo"]).select("chunk", "hi", "lo", "lp")
+    schema = StructType([StructField("m_lang", rows.schema[0].dataType), *[rows.schema[i] for i in kept], *_MEASURES])
+    from pyspark.sql.pandas.types import to_arrow_schema
 
+    arrow = to_arrow_schema(schema)
 
-def _verdict(scored: DataFrame, limits: DataFrame) -> DataFrame:
-    # One row per language, and a model holds MOST_LANGUAGES at most: the broadcast is bounded.
-    within = F.col("__high").isNull() | F.col("nll").between(F.col("__low"), F.col("__high"))
-    return scored.join(F.broadcast(limits), "__lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(within, F.lit(True)))
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        part = Part(*[right.column(i).to_numpy() for i in (1, 2, 3)])
+        out = []
+        for stored in left.column(2):
+            given = _read(stored)
+            counts: list[tuple] = []
+            nll: list[float | None] = []
+            for texts in slices(given.column(1).chunk(0)):
+                counts += [(*base_counts(t), len(t or "")) for t in texts]
+                sums = iter(part.sums(own) if (own := [t for t in texts if t]) else ())
+                nll += [float(-next(sums)) / len(t) if t else None for t in texts]
+            columns = [given.column(0), *[given.column(i) for i in kept], *[pa.array(c, pa.int64()) for c in zip(*counts, strict=True)], pa.array(nll, pa.float64())]
+            out.append(pa.Table.from_arrays(columns, schema=arrow))
+        return pa.concat_tables(out)
+
+    return written(packed.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(score, schema), "measured")
+
+
+def _verdicts(scored: DataFrame) -> DataFrame:
+    """scored with base_failed and kept."""
+    n = F.col("m_n_words")
+    failed = (n < LEAST_WORDS) | (100 * F.col("m_n_repeat_words") > 50 * n)
+    scored = scored.withColumn("m_failed", failed)
+    return joined(scored, written(bands(scored.filter(~failed)), "bands"), "m_lang", "left").withColumn("m_kept", ~F.col("m_failed") & F.coalesce(F.abs(_place()) <= 1, F.lit(True)))
+
+
+def _unit() -> Column:
+    return F.sqrt(1 / F.greatest(F.col("m_chars"), F.lit(1)) + F.lit(1 / LONG))
+
+
+def _place() -> Column:
+    """Where a text lies in its band: -1 and 1 are the borders, 0 the median."""
+    off = (F.col("m_nll") - F.col("m_mid")) / (_unit() * F.col("m_scale"))
+    return off / F.when(off < 0, F.lit(BELOW)).otherwise(F.lit(ABOVE))
+
+
+def bands(scored: DataFrame) -> DataFrame:
+    """(m_lang, m_mid, m_scale) from rows (m_lang, m_nll, m_chars) by mergeable sketches: no language's rows meet in one task."""
+    scored = scored.select("m_lang", "m_nll", "m_chars")
+    middle = written(scored.groupBy("m_lang").agg(F.percentile_approx("m_nll", 0.5, 10_000).alias("m_mid")), "medians")
+    off = F.abs(F.col("m_nll") - F.col("m_mid")) / _unit()
+    spread = joined(scored, middle, "m_lang").groupBy("m_lang", "m_mid").agg(F.percentile_approx(off, 0.5, 10_000).alias("m_mad"))
+    return spread.select("m_lang", "m_mid", F.greatest(F.lit(LEAST_SCALE), 1.4826 * F.col("m_mad")).alias("m_scale"))
 
 
 def score_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """A row per document: id, counts, base_failed, kept, and nll (nats a character)."""
-    models = fit(docs, text_col, lang_col)
-    rows = docs.select(F.col(id_col), F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), measures(docs, models, text_col, lang_col).alias("__m"))
-    rows = checkpointed(rows.select(id_col, "__lang", "__m.*", base_failed("__m").alias("base_failed")))
-    judged = _verdict(rows, bands(rows.filter(~F.col("base_failed"))))
-    return judged.select(id_col, *_COUNTS, "base_failed", "kept", "nll")
+    """A row per document: id, counts, base_failed, kept, nll (nats a character) and place (in its band: -1 and 1 are the borders)."""
+    shared_dir(docs.sparkSession)
+    rows = docs.select(F.coalesce(F.col(lang_col), F.lit("")).alias("lang"), F.col(text_col).alias("text"), F.col(id_col).alias("m_id"))
+    judged = _verdicts(measured(rows, [2]))
+    return judged.select(F.col("m_id").alias(id_col), *[F.col(f"m_{c}").alias(c) for c in _COUNTS], F.col("m_failed").alias("base_failed"), F.col("m_kept").alias("kept"), F.col("m_nll").alias("nll"), _place().alias("place"))
 
 
 def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of docs that pass, with the columns they came with."""
-    models = fit(docs, text_col, lang_col)
-    rows = docs.select("*", F.coalesce(F.col(lang_col), F.lit("")).alias("__lang"), measures(docs, models, text_col, lang_col).alias("__m"))
-    rows = rows.select(*docs.columns, "__lang", F.col("__m.nll").alias("__nll"), base_failed("__m").alias("__failed"))
-    passed = rows.filter(~F.col("__failed"))
-    # Two numbers a document are kept for the bands; texts are scored again for the verdict rather than written.
-    limits = checkpointed(bands(checkpointed(passed.select("__lang", F.col("__nll").alias("nll")))))
-    within = F.col("__high").isNull() | F.col("__nll").between(F.col("__low"), F.col("__high"))
-    return passed.join(F.broadcast(limits), "__lang", "left").filter(F.coalesce(within, F.lit(True))).select(*docs.columns)
+    """The rows of docs that pass, with the columns they came with. Texts are packed once and measured once."""
+    shared_dir(docs.sparkSession)
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    at = {name: f"c{i}" for i, name in enumerate(docs.columns)}
+    rows = numbered.select(F.coalesce(F.col(at[lang_col]), F.lit("")).alias("lang"), F.col(at[text_col]).alias("text"), *[c for c in numbered.columns if c != at[text_col]])
+    judged = _verdicts(measured(rows, list(range(1, len(rows.columns)))))
+    names = [F.col("text" if c == at[text_col] else c).alias(name) for name, c in at.items()]
+    return judged.filter("m_kept").select(*names)
