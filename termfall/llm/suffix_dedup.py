@@ -5,9 +5,11 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else as w
 1. Sampling. Every window of LENGTH bytes has one anchor: the first of its least-hashed GRAM-byte grams, a function of the window's
    bytes alone. Equal windows thus have equal anchors at equal distances, and neighbouring windows with one anchor form a
    block. Only about one suffix in 70 is an anchor.
-2. Distinguishing prefixes. Blocks are counted by the hash of their anchor's gram (partial sums before the shuffle). A gram
-   found once makes all its windows unique; a gram whose blocks are all the same makes all its windows repeats. Neither needs its
-   bytes exchanged. Joining the counts back is a plain equi-join, which adaptive execution splits where a gram is hot.
+2. Distinguishing prefixes and pre-aggregation. Blocks are counted by the hash of their anchor's gram (partial sums before the shuffle),
+   with the least and largest 128-bit digest of a block's bytes and distance. A gram found once makes all its windows unique. A gram
+   whose blocks all have one digest is one block in copies: merging would compare a string with itself, so all its windows are repeats,
+   and a group of copies, however large, is never exchanged. Joining the counts back is a plain equi-join, which adaptive execution splits
+   where a gram is hot.
 3. Merge sort. Blocks whose grams have differing surroundings are exchanged. A map task sorts its anchor suffixes into runs, front-coded:
    a suffix is stored as the length of the prefix shared with its predecessor, and the rest. A reducer merges the runs
    with a loser tree whose players carry the prefix length that they share with the last winner: players with different
@@ -17,7 +19,10 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else as w
 4. Decision. The window that starts d bytes before an anchor repeats if another block's suffix agrees over LENGTH - d bytes and its
    reversed head over d bytes: for each d, both are intervals of the sorted orders.
 
-Hot grams (over HOT blocks) don't meet in one task: their windows are counted by 128-bit digests instead, again with partial sums.
+A gram with over HOT blocks of differing surroundings would fill a task. Its windows are counted by 128-bit digests instead, again
+with partial sums: the same decision, window by window, for any number of blocks.
+
+Rows are told apart by a 128-bit digest of id and text, nulls flagged, so rows that share a key share their result.
 
 Edge cases: null and empty texts and texts shorter than LENGTH lose nothing; texts are UTF-8 bytes, read whole, and matches never
 cross documents; repeated rows are repeats of each other; overlapping repeats inside a text count; rows with a null id keep
@@ -35,15 +40,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, to_arrow
+from .common import checkpointed, ranges, slices, to_arrow
 
 LENGTH = 200
 GRAM = 64  # a power of two
 SPAN = LENGTH - GRAM + 1
 #: Blocks of one gram that one task may hold; more are decided by digests.
 HOT = 100_000
-#: Bytes of blocks that a map task gathers before it writes its runs.
-RUN_BYTES = 32 << 20
+#: Bytes of blocks that a map task gathers before it writes its runs; bytes of a text that are sampled at a time.
+RUN_BYTES, PART_BYTES = 32 << 20, 16 << 20
+#: Blocks that meet in a merging task, about.
+MERGED = 20_000
 
 _R = np.random.default_rng(20_240_601)
 _BYTE = _R.integers(1 << 63, dtype=np.uint64, size=256) | np.uint64(1)
@@ -73,9 +80,7 @@ def blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     none = np.zeros(0, dtype=np.int64)
     if len(data) < LENGTH:
         return none, none, none, none
-    # 36 bits of the hash, then the position: the least key is the first of the least hashes.
-    if len(data) >= 1 << 28:
-        raise ValueError("a batch of over 256 MB")
+    # 36 bits of the hash, then the position (PART_BYTES are under 2^28): the least key is the first of the least hashes.
     h = gram_hashes(data)
     keys = (h >> np.uint64(28)) << np.uint64(28) | np.arange(len(h), dtype=np.uint64)
     anchor = (_sliding_least(keys, SPAN) & np.uint64((1 << 28) - 1)).astype(np.int64)
@@ -90,32 +95,40 @@ def blocks(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return at[new], n, anchor[new] - at[new], owner[new]
 
 
-def _laid(texts: list[str | None]) -> tuple[bytes, np.ndarray]:
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    return b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64)
+def _parts(raw: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, int, int]]:
+    """Texts laid end to end, their ends, the number of the first one, and where it begins; a long text comes in parts that share windows' ends."""
+    if len(raw) == 1 and len(raw[0]) > PART_BYTES:
+        for at in range(0, len(raw[0]), PART_BYTES):
+            part = raw[0][at : at + PART_BYTES + LENGTH - 1]
+            yield part, np.array([len(part)]), 0, at
+    else:
+        yield b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64), 0, 0
 
 
-_BLOCKS = "d bigint, h int, place bigint, gram bigint, whole bigint"
+_BLOCKS = "d bigint, h bigint, place bigint, gram bigint, whole bigint, more bigint"
 
 
 def sampled(keyed: DataFrame) -> DataFrame:
-    """Blocks of all texts: row key (d, h), place (start, windows, distance packed), hashes of the gram and of the block."""
+    """Blocks of all texts: row key (d, h), place (start, windows, distance packed), hash of the gram and digest of the block."""
     arrow = to_arrow(keyed.sparkSession, _BLOCKS)
-    hashed = xxhash.xxh3_64_intdigest
+    hashed, digest = xxhash.xxh3_64_intdigest, xxhash.xxh3_128_digest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            d, h = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            joined, ends = _laid(batch.column(2).to_pylist())
-            start, n, distance, owner = blocks(np.frombuffer(joined, dtype=np.uint8), ends)
-            if not len(start):
-                continue
-            anchor = (start + distance).tolist()
-            stop = (start + n - 1 + LENGTH).tolist()
-            gram = np.fromiter((hashed(joined[a : a + GRAM]) for a in anchor), dtype=np.uint64, count=len(start)).view(np.int64)
-            whole = np.fromiter((hashed(joined[s:e], x) for s, e, x in zip(start.tolist(), stop, distance.tolist(), strict=True)), dtype=np.uint64, count=len(start)).view(np.int64)
-            own = start - np.concatenate(([0], ends[:-1]))[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(d[owner]), pa.array(h[owner]), pa.array(own << 16 | n << 8 | distance), pa.array(gram), pa.array(whole)], schema=arrow)
+            for at, size in ranges(batch.column(2)):
+                d, h = (batch.column(i).slice(at, size).to_numpy(zero_copy_only=False) for i in (0, 1))
+                raw = [(t or "").encode("utf-8", "surrogatepass") for t in batch.column(2).slice(at, size).to_pylist()]
+                for joined, ends, first, begin in _parts(raw):
+                    start, n, distance, owner = blocks(np.frombuffer(joined, dtype=np.uint8), ends)
+                    if not len(start):
+                        continue
+                    anchor = (start + distance).tolist()
+                    stop = (start + n - 1 + LENGTH).tolist()
+                    gram = np.fromiter((hashed(joined[a : a + GRAM]) for a in anchor), dtype=np.uint64, count=len(start)).view(np.int64)
+                    whole = np.frombuffer(b"".join(digest(joined[s:e], x) for s, e, x in zip(start.tolist(), stop, distance.tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
+                    own = begin + start - np.concatenate(([0], ends[:-1]))[owner]
+                    columns = [d[first + owner], h[first + owner], own << 16 | n << 8 | distance, gram, *np.ascontiguousarray(whole.T)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
     return keyed.select("d", "h", "text").mapInArrow(run, _BLOCKS)
 
@@ -205,7 +218,7 @@ def _pack(part: int, own: list[tuple[bytes, bytes, int, int, int]]) -> dict:
     """A front-coded run of (suffix, reversed head, d, h, place)."""
     own.sort(key=lambda x: x[0])
     prefix, rests = front_code([x[0] for x in own])
-    return {"part": part, "n": len(own), "prefix": prefix.tobytes(), "rests": b"".join(rests), "heads": b"".join(x[1] for x in own), "d": np.array([x[2] for x in own], dtype=np.int64).tobytes(), "h": np.array([x[3] for x in own], dtype=np.int32).tobytes(), "place": np.array([x[4] for x in own], dtype=np.int64).tobytes()}
+    return {"part": part, "n": len(own), "prefix": prefix.tobytes(), "rests": b"".join(rests), "heads": b"".join(x[1] for x in own), "d": np.array([x[2] for x in own], dtype=np.int64).tobytes(), "h": np.array([x[3] for x in own], dtype=np.int64).tobytes(), "place": np.array([x[4] for x in own], dtype=np.int64).tobytes()}
 
 
 def _unpack(row: dict) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -216,7 +229,7 @@ def _unpack(row: dict) -> tuple[list[bytes], list[int], list[bytes], np.ndarray,
     head = np.concatenate(([0], np.cumsum(distance))).tolist()
     rests = [row["rests"][a:b] for a, b in zip(cut, cut[1:], strict=False)]
     heads = [row["heads"][a:b] for a, b in zip(head, head[1:], strict=False)]
-    return front_decode(prefix.tolist(), rests), prefix.tolist(), heads, np.frombuffer(row["d"], dtype=np.int64), np.frombuffer(row["h"], dtype=np.int32), place
+    return front_decode(prefix.tolist(), rests), prefix.tolist(), heads, np.frombuffer(row["d"], dtype=np.int64), np.frombuffer(row["h"], dtype=np.int64), place
 
 
 def repeated_windows(order_prefix: np.ndarray, head_rank: np.ndarray, head_prefix: np.ndarray, n: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -262,6 +275,13 @@ def _merge_part(rows: list[dict]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     return d[row], h[row], anchor - (past - 1), anchor - low + LENGTH
 
 
+def _listed(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, list[int]]]:
+    """Row key, text and places of each row."""
+    for at, size in ranges(batch.column(2)):
+        for d, h, text, places in zip(*(batch.column(i).slice(at, size).to_pylist() for i in range(4)), strict=True):
+            yield d, h, text.encode("utf-8", "surrogatepass"), places
+
+
 def _runs(listed: DataFrame, parts: int) -> DataFrame:
     """Front-coded runs of the blocks listed beside each text, by part."""
     arrow = to_arrow(listed.sparkSession, _RUNS)
@@ -276,8 +296,7 @@ def _runs(listed: DataFrame, parts: int) -> DataFrame:
         held: dict[int, list] = {}
         size = 0
         for batch in batches:
-            for d, h, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+            for d, h, raw, places in _listed(batch):
                 for place in places:
                     start, n, distance = place >> 16, place >> 8 & 255, place & 255
                     anchor, stop = start + distance, start + n - 1 + LENGTH
@@ -293,7 +312,7 @@ def _runs(listed: DataFrame, parts: int) -> DataFrame:
     return listed.mapInArrow(run, _RUNS)
 
 
-_SPANS = "d bigint, h int, start bigint, stop bigint"
+_SPANS = "d bigint, h bigint, start bigint, stop bigint"
 
 
 def _merged(runs: DataFrame, parts: int) -> DataFrame:
@@ -309,21 +328,20 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
             if len(d):
                 yield pa.RecordBatch.from_arrays([pa.array(d), pa.array(h), pa.array(start), pa.array(stop)], schema=arrow)
 
-    return runs.repartition(parts, "part").mapInArrow(run, _SPANS)
+    return runs.repartitionById(parts, F.col("part")).mapInArrow(run, _SPANS)
 
 
 def _by_digest(listed: DataFrame) -> DataFrame:
     """Spans of the windows of hot grams, by counting 128-bit digests of windows."""
-    schema = "d bigint, h int, at bigint, w1 bigint, w2 bigint"
+    schema = "d bigint, h bigint, at bigint, w1 bigint, w2 bigint"
     arrow = to_arrow(listed.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for d, h, text, places in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                raw = text.encode("utf-8", "surrogatepass")
+            for d, h, raw, places in _listed(batch):
                 at = np.concatenate([np.arange(p >> 16, (p >> 16) + (p >> 8 & 255)) for p in places])
                 both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in at.tolist()), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), h, dtype=np.int32)), pa.array(at), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), h)), pa.array(at), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], schema=arrow)
 
     windows = listed.mapInArrow(run, schema)
     twice = checkpointed(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
@@ -333,17 +351,20 @@ def _by_digest(listed: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(keyed texts, spans of repeated bytes by row key). Spans may overlap and touch."""
     spark = docs.sparkSession
-    bounded_batches(spark)
-    # A row's key is its id and its text: rows that share both have the same result.
-    keyed = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(1 << 63))).alias("d"), F.hash(text_col).alias("h"), F.col(text_col).alias("text"))
+    given, text = F.col(id_col).cast("string"), F.col(text_col)
+    d, h = (F.xxhash64(F.lit(seed), given.isNull(), given, text.isNull(), text) for seed in (1, 2))
+    keyed = docs.select(F.col(id_col).alias("id"), d.alias("d"), h.alias("h"), text.alias("text"))
     found = sampled(keyed)
-    grams = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("low"), F.max("whole").alias("high")).filter("n > 1")
-    kind = F.when(F.col("low") == F.col("high"), F.lit(0)).when(F.col("n") <= hot, F.lit(1)).otherwise(F.lit(2))
+    ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("whole", "more") for f in (F.min, F.max)]
+    grams = found.groupBy("gram").agg(F.count("*").alias("n"), *ends).filter("n > 1")
+    one = (F.col("min_whole") == F.col("max_whole")) & (F.col("min_more") == F.col("max_more"))
+    kind = F.when(one, F.lit(0)).when(F.col("n") <= hot, F.lit(1)).otherwise(F.lit(2))
     # Written first: then both sides of the join are plain exchanges, which adaptive execution can split at a hot gram.
     shared = found.join(checkpointed(grams.select("gram", kind.alias("kind"))), "gram")
-    places = [F.array_distinct(F.expr(f"collect_list(CASE WHEN kind = {k} THEN place END)")).alias(f"k{k}") for k in range(3)]
+    places = [F.expr(f"collect_set(CASE WHEN kind = {k} THEN place END)").alias(f"k{k}") for k in range(3)]
     listed = checkpointed(shared.groupBy("d", "h").agg(*places))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    merged = listed.agg(F.sum(F.size("k1"))).first()[0] or 0
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-merged // MERGED))
 
     def beside(k: int) -> DataFrame:
         return keyed.join(listed.filter(F.size(f"k{k}") > 0).select("d", "h", f"k{k}"), ["d", "h"]).select("d", "h", "text", f"k{k}")
@@ -384,7 +405,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     @F.arrow_udf("struct<n_bytes: bigint, n_removed: bigint, n_spans: bigint, kept_sha256: string, kept: binary>")
     def cut(texts: pa.Array, spans: pa.Array) -> pa.Array:
         rows = []
-        for t, s in zip(texts.to_pylist(), spans, strict=True):
+        for t, s in zip((t for some in slices(texts) for t in some), spans, strict=True):
             raw = (t or "").encode("utf-8", "surrogatepass")
             pairs = s.values.flatten() if s.is_valid else []
             kept, removed, runs = _kept(raw, list(zip(pairs[0].to_pylist(), pairs[1].to_pylist(), strict=True)) if len(pairs) else [])
