@@ -1,12 +1,16 @@
 """SimHash near-dedup by a binary trie self-join.
 
 A document's fingerprint is the bitwise majority of the XXH64 hashes of its word shingles. Distinct fingerprints, not
-documents, are joined: copies share one. If two 64-bit fingerprints differ in at most BITS bits, one of BITS + 1 equal
-blocks of bits is the same in both, so each distinct fingerprint goes to BITS + 1 tasks, rotated so that the block comes first.
-A task keeps its fingerprints sorted, which is a binary trie in an array: a node is a range. Pairs of nodes are walked together
-from the block down, the differing bits add up, and a pair is dropped as soon as they exceed the budget. Small node pairs
-are compared directly. A task joins what it finds in a union-find and emits at most one link per fingerprint, never all
-pairs of a group; components then come from star rounds over those links.
+documents, are joined: copies share one. A task keeps its fingerprints sorted, which is a binary trie in an array: a node is a range, and
+an edge without branches is skipped. Pairs of nodes are walked together from the root down, the differing bits add up, and a
+pair is dropped as soon as they exceed the budget; two single fingerprints are charged the differing bits of their last edges.
+
+The trie is dealt to tasks by its BITS + 1 rotations: fingerprints that differ in at most BITS of 64 bits agree in one of BITS + 1
+blocks, so in the rotation that begins with it they lie below one node, whose subtree is walked in one task. A fingerprint travels BITS + 1
+times. Cut at depth p without rotations, it would travel to every node within BITS bits of its own: for p = 16, 697 times.
+
+A task joins what it finds in a union-find and emits at most one link per fingerprint, never all pairs of a group; components then come from
+star rounds over those links.
 
 Edge cases: null and empty texts and texts without a word have the fingerprint zero and are linked like any other; fewer
 words than a shingle needs give one shingle, the whole sequence; texts are read whole; repeated rows share a fingerprint
@@ -24,14 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, to_arrow
+from .common import checkpointed, slices, to_arrow
 from .components import components
 
 BITS = 3
 SEED = 42
 WIDTH = 64
-#: Node pairs of at most so many fingerprint pairs are compared directly; so many are held at a time.
-LEAF, HELD = 32, 200_000
+#: Node pairs that are walked at a time.
+HELD = 200_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -55,11 +59,10 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3, out_col: str = "fp") -> DataFrame:
     """All columns of docs and the fingerprint as a (signed) long."""
-    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("bigint")
     def made(texts: pa.Array) -> pa.Array:
-        return pa.array(np.array([fingerprint(t, words) for t in texts.to_pylist()], dtype=np.uint64).view(np.int64))
+        return pa.array(np.array([fingerprint(t, words) for some in slices(texts) for t in some], dtype=np.uint64).view(np.int64))
 
     # Not deterministic for the optimiser, which else runs it again for a filter on its result.
     return docs.withColumn(out_col, made.asNondeterministic()(F.col(text_col)))
@@ -110,29 +113,19 @@ def trie_links(sorted_fps: np.ndarray, fixed: int, bits: int = BITS) -> np.ndarr
     #: For each depth, how many of the first i fingerprints have that bit set.
     ones: dict[int, np.ndarray] = {}
 
-    def direct(a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray) -> None:
-        wide, deep = a1 - a0, b1 - b0
-        size = wide * deep
-        of = np.repeat(np.arange(len(size)), size)
-        k = np.arange(len(of)) - np.repeat(np.cumsum(size) - size, size)
-        x, y = a0[of] + k // deep[of], b0[of] + k % deep[of]
-        keep = x < y
-        x, y = x[keep], y[keep]
-        keep = np.bitwise_count(sorted_fps[x] ^ sorted_fps[y]) <= bits
-        sets.join(x[keep], y[keep])
+    def below(depth: int) -> np.uint64:
+        return np.uint64((1 << (WIDTH - depth)) - 1)
 
     stack = [(fixed, lo[i : i + HELD], hi[i : i + HELD], lo[i : i + HELD], hi[i : i + HELD], np.zeros(len(lo[i : i + HELD]), dtype=np.int64)) for i in range(0, len(lo), HELD)]
     while stack:
         depth, a0, a1, b0, b1, spent = stack.pop()
-        small = ((a1 - a0) * (b1 - b0) <= LEAF) | (depth == WIDTH)
-        if small.any():
-            at = np.flatnonzero(small)
-            step = max(1, HELD // LEAF)
-            for i in range(0, len(at), step):
-                j = at[i : i + step]
-                direct(a0[j], a1[j], b0[j], b1[j])
-            big = ~small
-            a0, a1, b0, b1, spent = a0[big], a1[big], b0[big], b1[big], spent[big]
+        # Single fingerprints: what differs above is spent, what differs below is their last edges.
+        single = (a1 - a0 == 1) & (b1 - b0 == 1)
+        if single.any():
+            x, y = a0[single], b0[single]
+            near = (x != y) & (np.bitwise_count((sorted_fps[x] ^ sorted_fps[y]) & below(depth)) + spent[single] <= bits)
+            sets.join(x[near], y[near])
+            a0, a1, b0, b1, spent = (v[~single] for v in (a0, a1, b0, b1, spent))
         if not len(a0):
             continue
         if depth not in ones:
@@ -165,7 +158,6 @@ def links(distinct: DataFrame, bits: int = BITS, fp_col: str = "fp") -> DataFram
     for i in range(bits + 1):
         part = F.shiftrightunsigned(F.shiftleft("fp", edges[i]), WIDTH - (edges[i + 1] - edges[i]))
         key = F.when(F.col("block") == i, part).otherwise(key)
-    bounded_batches(spark)
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fps: list[np.ndarray] = []
@@ -208,10 +200,10 @@ def fingerprint_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, bits: int = BITS) -> DataFrame:
     """One row of docs for each class, the one of the least id (a null id only if there is no other), with the columns it came with.
 
-    Texts move in one shuffle, by id and fingerprint, so copies are spread.
+    Texts are fingerprinted once and move in one shuffle, by id and hash, so copies are spread.
     """
-    made = fingerprints(docs.withColumn("__id", F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))), text_col, words, "__fp")
-    narrow = checkpointed(made.select("__id", "__fp"))
-    classed = _classes(narrow.groupBy(F.col("__fp").alias("fp")).agg(F.min("__id").alias("least")), bits)
-    kept = classed.groupBy("root").agg(F.min(F.struct("least", "fp")).alias("k")).select(F.col("k.least").alias("__id"), F.col("k.fp").alias("__fp"))
-    return made.join(kept, ["__id", "__fp"], "left_semi").dropDuplicates(["__id", "__fp"]).select(*docs.columns)
+    made = docs.withColumn("__id", F.coalesce(F.col(id_col).cast("bigint"), F.lit((1 << 63) - 1))).withColumn("__hash", F.xxhash64(text_col))
+    narrow = checkpointed(fingerprints(made.select("__id", "__hash", F.col(text_col).alias("__text")), "__text", words).select("__id", "__hash", "fp"))
+    classed = _classes(narrow.groupBy("fp").agg(F.min(F.struct("__id", "__hash")).alias("least")), bits)
+    kept = classed.groupBy("root").agg(F.min("least").alias("k")).select("k.*")
+    return made.join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(*docs.columns)
