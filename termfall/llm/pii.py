@@ -24,7 +24,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "account", "secret")
@@ -40,10 +39,15 @@ _DOTTED = re.compile(r"[0-9]+(?:\.[0-9]+)+")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGITS = re.compile(r"[0-9]")
-_USERINFO = re.compile(r"[^\s/@:?#\"'<>]+(?::[^\s/@?#\"'<>]*)?@[A-Za-z0-9.-]+(?::[0-9]+)?(?:[/?#][^\s\"'<>]*)?")
+#: What stands between a scheme and an at-sign; what ends the run that is searched for one; the host behind it; the rest of the address.
+_USER = re.compile(r"[^\s/@:?#\"'<>]+(?::[^\s/@?#\"'<>]*)?")
+_STOP = re.compile(r"[\s/?#\"'<>]")
+_HOST = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+\.?(?::[0-9]+)?")
+_TAIL = re.compile(r"(?:[/?#][^\s\"'<>]*)?")
 _TEL = re.compile(r"\+?[0-9](?:[ ().-]?[0-9]){6,14}")
 _ACCOUNT = re.compile(r"(?:\s+(?i:number|no|nr|num|nummer|id))?\.?\s{0,3}[:=#]?\s{0,3}(?:(?<=[\s:=#])(?i:is|ist|est|es|was|lautet)\b\s{0,3}[:=#]?\s{0,3})?\"?([A-Z]{0,2}[0-9][A-Z0-9]*(?:[ -][A-Z0-9]+)*)", re.ASCII)
-_SECRET = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?([A-Za-z0-9_+/=.-]{8,})")
+_SECRET_HEAD = re.compile(r"\s{0,3}[:=]\s{0,3}[\"']?")
+_SECRET = re.compile(r"[A-Za-z0-9_+/=.-]*")
 
 
 @lru_cache(1)
@@ -87,6 +91,8 @@ _IBAN_LENGTHS = dict(
 )
 #: An account value is never longer than so many characters, blanks included.
 _LONGEST = 80
+#: Characters behind a cue in which its value is looked for: words between them, and one more than the longest value.
+_REACH = 200
 
 
 def _account(value: str) -> int | None:
@@ -133,6 +139,31 @@ def _ips(text: str) -> list[tuple[int, int]]:
     return out
 
 
+class _Addresses:
+    """Addresses behind schemes. What was found out about a run of text serves all schemes in it, so the work is linear."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.at = self.stop = self.hopeless = -1
+
+    def end(self, after: int) -> int | None:
+        """Where the address that begins at `after` ends, if there is one."""
+        text = self.text
+        if self.stop < after:
+            m = _STOP.search(text, after)
+            self.stop = m.start() if m else len(text)
+        if self.at < after:
+            at = text.find("@", after, self.stop)
+            self.at = at if at >= 0 else self.stop
+        if self.at >= self.stop or self.at == self.hopeless or not _USER.fullmatch(text, after, self.at):
+            return None
+        host = _HOST.match(text, self.at + 1)
+        if not host:
+            self.hopeless = self.at
+            return None
+        return _TAIL.match(text, host.end()).end()
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     """All spans of a text as (kind, start, end), by kind as in KINDS, then start; code points, end exclusive."""
     if not text:
@@ -140,6 +171,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     floor = 0
     ends = {"address": 0, "account": 0, "secret": 0}
+    addresses = _Addresses(text)
     for last, (what, n) in _automaton().iter(text):
         start, after = last - n + 1, last + 1
         if what == "at":
@@ -152,23 +184,27 @@ def find_spans(text: str | None) -> list[tuple[str, int, int]]:
         if what == "scheme":
             if start < ends["address"]:
                 continue
-            scheme = text[start:after].lower()
-            m = (_TEL if scheme == "tel:" else _USERINFO).match(text, after)
-            if m and (scheme == "tel:" or _DOMAIN.match(m.group().rpartition("@")[2]) or "." in m.group()):
-                found["address"].append((start, m.end()))
-                ends["address"] = m.end()
+            if text[start:after].lower() == "tel:":
+                m = _TEL.match(text, after)
+                end = m.end() if m else None
+            else:
+                end = addresses.end(after)
+            if end:
+                found["address"].append((start, end))
+                ends["address"] = end
         elif what == "account":
-            m = _ACCOUNT.match(text, after)
+            m = _ACCOUNT.match(text, after, after + _REACH)
             if m and m.start(1) > after and m.start(1) >= ends["account"]:
                 size = _account(m.group(1))
                 if size:
                     found["account"].append((m.start(1), m.start(1) + size))
                     ends["account"] = m.start(1) + size
-        else:
-            m = _SECRET.match(text, after)
-            if m and m.start(1) >= ends["secret"] and any(c.isdigit() for c in m.group(1)):
-                found["secret"].append(m.span(1))
-                ends["secret"] = m.end(1)
+        elif (m := _SECRET_HEAD.match(text, after)) and m.end() >= ends["secret"]:
+            # A run is read once, whether it is a secret or not: what begins inside it is no other one.
+            m = _SECRET.match(text, m.end())
+            ends["secret"] = m.end()
+            if m.end() - m.start() >= 8 and _DIGITS.search(text, *m.span()):
+                found["secret"].append(m.span())
     if _DIGITS.search(text):
         if "." in text:
             found["ip"] = _ips(text)
@@ -227,13 +263,11 @@ def spans_column(text: Column) -> Column:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, counts by kind, digest of the base spans, all spans."""
-    bounded_batches(docs.sparkSession)
     return docs.select(F.col(id_col), spans_column(F.col(text_col)).alias("__pii")).select(id_col, "__pii.*")
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """All columns and rows of docs, spans in the text replaced, the count of characters kept in step."""
-    bounded_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:
