@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, pieces, to_arrow
+from .common import pieces, ranges, slices, to_arrow
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
@@ -34,20 +34,32 @@ MOST_LANGUAGES = 512
 
 @lru_cache(1)
 def _letters() -> np.ndarray:
-    """Which code points are letters or marks."""
+    """2 for code points that are letters, 1 for marks, 0 for others."""
     import unicodedata
 
-    return np.fromiter((chr(i).isalpha() or unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), dtype=bool, count=0x110000)
+    return np.fromiter((2 if chr(i).isalpha() else unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), dtype=np.int8, count=0x110000)
+
+
+def _in_words(kinds: np.ndarray) -> np.ndarray:
+    """Which characters stand in words: runs of letters and marks that hold a letter."""
+    some = kinds > 0
+    first = np.flatnonzero(some & ~np.concatenate(([False], some[:-1])))
+    if len(first):
+        length = np.flatnonzero(some & ~np.concatenate((some[1:], [False]))) + 1 - first
+        bare = np.flatnonzero(np.maximum.reduceat(np.where(some, kinds, 0), first) < 2)
+        for i in bare.tolist():
+            some[first[i] : first[i] + length[i]] = False
+    return some
 
 
 def words_of(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """n-gram buckets of all words laid end to end by order, where each word's begin, and the text each word belongs to.
 
-    A word is a run of letters, lower-cased, with a blank on either side.
+    A word is a run of letters and marks that holds a letter, lower-cased, with a blank on either side.
     """
     lowered = [(t or "").lower() for t in texts]
     points = np.frombuffer((" " + " ".join(lowered) + " ").encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    letter = _letters()[points]
+    letter = _in_words(_letters()[points])
     x = np.where(letter, points, np.uint32(32))
     starts = np.cumsum([1, *(len(t) + 1 for t in lowered[:-1])]) if lowered else np.zeros(0, dtype=np.int64)
     after = np.concatenate(([False], letter[:-1]))
@@ -59,8 +71,12 @@ def words_of(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.
     found = []
     for n in ORDERS:
         h = np.full(len(ends), n, dtype=np.uint32)
+        past = np.zeros(len(ends), dtype=bool)
         for k in range(n):
-            h ^= x[np.maximum(ends - k, 0)]
+            # What lies before the blank in front of a word is another word.
+            sign = np.where(past, np.uint32(32), x[np.maximum(ends - k, 0)])
+            past |= (sign == 32) & (k > 0)
+            h ^= sign
             h *= _MIX
             h ^= h >> np.uint32(15)
         found.append(h & np.uint32(BUCKETS - 1))
@@ -70,33 +86,35 @@ def words_of(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages by name, and log probabilities [bucket, language], from all rows with a language."""
     spark = docs.sparkSession
-    bounded_batches(spark)
     schema = "lang string, bucket int, n bigint"
     arrow = to_arrow(spark, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            by: dict[str, list[str]] = {}
-            for t, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(lang, []).append(t)
-            for lang, own in by.items():
-                held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
-                for grams in words_of(own)[0]:
-                    held[lang] += np.bincount(grams, minlength=BUCKETS)
+            for start, size in ranges(batch.column(0)):
+                by: dict[str, list[str]] = {}
+                for t, lang in zip(*(batch.column(i).slice(start, size).to_pylist() for i in (0, 1)), strict=True):
+                    by.setdefault(lang, []).append(t)
+                for lang, own in by.items():
+                    held.setdefault(lang, np.zeros(BUCKETS, dtype=np.int64))
+                    for grams in words_of(own)[0]:
+                        held[lang] += np.bincount(grams, minlength=BUCKETS)
         for lang, n in held.items():
             at = np.flatnonzero(n)
             yield from pieces({"lang": [lang] * len(at), "bucket": at.astype(np.int32), "n": n[at]}, arrow)
 
     counted = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(text_col, lang_col).mapInArrow(run, schema).groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs = np.array(counted["lang"].to_pylist(), dtype=object)
-    names = sorted(set(langs))
+    coded = counted["lang"].combine_chunks().dictionary_encode()
+    given, which = coded.dictionary.to_pylist(), coded.indices.to_numpy()
+    names = sorted(given)
     if len(names) > MOST_LANGUAGES:
         raise ValueError(f"{len(names)} languages; a broadcast model may hold {MOST_LANGUAGES}")
     table = np.full((BUCKETS, len(names)), SMOOTH)
     buckets, n = counted["bucket"].to_numpy(), counted["n"].to_numpy()
     for i, name in enumerate(names):
-        table[buckets[langs == name], i] += n[langs == name]
+        own = which == given.index(name)
+        table[buckets[own], i] += n[own]
     return names, np.log(table / table.sum(axis=0)).astype(np.float32)
 
 
@@ -153,7 +171,6 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text") -> Column:
     """A struct column: lang_pred, score, and the languages of the document with their proportions."""
-    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((names, table))
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
 
@@ -161,7 +178,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str
     def guessed(texts: pa.Array) -> pa.Array:
         own, model = shared.value
         rows = []
-        for w in mixtures(texts.to_pylist(), model):
+        for w in (w for some in slices(texts) for w in mixtures(some, model)):
             order = [i for i in np.argsort(-w, kind="stable") if w[i] > 0]
             rows.append({"lang_pred": own[order[0]], "score": float(min(1.0, w[order[0]])), "languages": [own[i] for i in order], "shares": [float(w[i]) for i in order]} if order else {"lang_pred": "und", "score": 0.0, "languages": [], "shares": []})
         return pa.array(rows, type=kind)
