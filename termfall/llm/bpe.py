@@ -26,10 +26,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches
 
-#: Encoded pre-tokens that a worker remembers before it starts anew.
-REMEMBERED = 150_000
+#: Characters of encoded pre-tokens that a worker remembers before it starts anew.
+REMEMBERED = 4 << 20
 
 #: \s of the split pattern as Unicode's White_Space, spelled out: engines differ on U+001C to U+001F.
 _SPACE = r"\t\n\x0b\x0c\r \x85\xa0  -     　"
@@ -100,11 +99,13 @@ class Codec:
         # The inverse map, from the pieces that the model itself holds.
         self.pieces = [b"".join(back[c] for c in self.processor.id_to_piece(i)) for i in range(len(tokens))]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.size = 0
 
     def learn(self, parts: list[str]) -> None:
         """Encode the pre-tokens that aren't remembered, in one call."""
         new, merged = {p for p in set(parts) if p not in self.known}, []
         for piece in new:
+            self.size += len(piece) + 16
             raw = piece.encode()
             whole = self.ids.get(raw)
             if whole is None:
@@ -116,8 +117,9 @@ class Codec:
 
     def encode(self, text: str) -> list[int]:
         """The ids of a text."""
-        if len(self.known) > REMEMBERED:
+        if self.size > REMEMBERED:
             self.known.clear()
+            self.size = 0
         parts = self.split(text)
         self.learn(parts)
         return list(chain.from_iterable(map(self.known.__getitem__, parts)))
@@ -142,7 +144,6 @@ _DDL = "struct<n_tokens: bigint, ids: array<int>, ids_sha256: string, decoded_sh
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row per document: id, number of tokens, ids (on demand), digests of the ids and of the decoded bytes."""
-    bounded_batches(docs.sparkSession)
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     ids_type = pa.list_(pa.int32())
     kind = pa.struct([("n_tokens", pa.int64()), ("ids", ids_type), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -168,7 +169,6 @@ def _names(n: int) -> list[str]:
 
 def decode_ids(frame: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns of frame and the bytes that each list of ids stands for (null ids: null)."""
-    bounded_batches(frame.sparkSession)
     tokens = frame.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("binary")

@@ -59,6 +59,36 @@ def test_removed_bytes_equal_brute_force(spark, hot):
     assert all(hashlib.sha256(bytes(x.kept)).hexdigest() == x.kept_sha256 for x in got)
 
 
+def test_rows_are_told_apart_by_digests(spark):
+    """Two 257-byte texts of equal 32-bit hash without ids, one of them repeated: the unique one keeps its bytes."""
+    F = _f()
+    made = spark.range(400_000).select(F.rpad(F.concat(*[F.sha2(F.concat("id", F.lit(k)).cast("string"), 256) for k in "abcd"]), 257, "x").alias("t"))
+    both = made.groupBy(F.hash("t")).agg(F.count("*").alias("n"), F.min("t").alias("a"), F.max("t").alias("b")).filter("n > 1").first()
+    docs = [(None, both.a), (None, both.b), (5, both.b)]
+    got = sorted(tuple(x[1:3]) for x in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).collect())
+    assert got == [(257, 0), (257, 257), (257, 257)]
+    # A null id is no empty one, a null text is no empty one.
+    keyed, _ = suffix_dedup.repeated_spans(spark.createDataFrame([(None, "x"), (None, None), (None, ""), ("", "x")], "doc_id string, text string"))
+    assert keyed.select("d", "h").distinct().count() == 4
+
+
+def test_long_texts_come_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(suffix_dedup, "PART_BYTES", 700)
+    r = random.Random(5)
+    long = "".join(r.choice("abc") for _ in range(5_000))
+    docs = [(1, long), (2, "y" * 30 + long[650:1_500]), (3, long[:300] + "z" + long[:300])]
+    got = [tuple(x[:5]) for x in suffix_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id bigint, text string")).orderBy("doc_id").collect()]
+    raw = [suffix_dedup._parts([t.encode()]) for _, t in docs[:1]]
+    assert sum(1 for _ in raw[0]) == 8
+    assert got == [(i, *w) for (i, _), w in zip(docs, removed_brute([t for _, t in docs]), strict=True)]
+
+
+def _f():
+    from pyspark.sql import functions as F
+
+    return F
+
+
 def test_suffixes_of_no_documents(spark):
     docs = spark.createDataFrame([], "doc_id bigint, text string")
     assert suffix_dedup.remove_repeats(docs).collect() == []
@@ -161,21 +191,54 @@ def test_nearest_with_ties_and_odd_vectors(spark):
     assert sorted(map(tuple, got.collect())) == nearest_brute(given)
     assert ann.codes(vectors).count() == 302
     assert ann.search(vectors.filter("false"), vectors.filter("false")).collect() == []
+    # Repeated rows change nothing.
+    twice = ann.search(vectors.filter("vec_id % 20 = 0"), vectors.unionByName(vectors))
+    assert sorted(map(tuple, twice.collect())) == nearest_brute(given)
 
 
-def test_recall_and_bounds():
+def test_estimates_keep_their_bounds():
     r = np.random.default_rng(1)
-    vectors = r.standard_normal((3000, 64))
-    mean, turn = vectors.mean(axis=0), ann.rotation(64)
-    assert np.allclose(turn @ turn.T, np.eye(64), atol=1e-5)
-    guess, error = ann.estimate(vectors[:50], *ann.encode(vectors, mean, turn), mean, turn)
-    exact = vectors[:50] @ vectors.T
-    assert (np.abs(guess - exact) <= error).mean() > 0.97
-    ids = np.arange(3000)
-    q, found, _ = ann.search_block(ids[:50], vectors[:50], ids, vectors, 20, mean, turn)
-    np.fill_diagonal(exact, -np.inf)
-    hits = sum(len(set(found[q == i].tolist()) & set(np.argsort(-exact[i])[:20].tolist())) for i in range(50))
-    assert hits / 1000 >= 0.9
+    vectors, centre = r.standard_normal((3000, 50)), r.standard_normal(50)
+    assert np.allclose((ann.rotate(vectors[:9]) ** 2).sum(axis=1), (vectors[:9] ** 2).sum(axis=1), rtol=1e-4)
+    asked = ann.Asked.of(vectors[:40])
+    bits, length, fit = ann.encode(vectors - centre)
+    guess, error = ann.estimate(asked, slice(0, 40), np.ascontiguousarray(bits.view(np.uint64).T), length, fit, centre)
+    exact = vectors[:40] @ vectors.T
+    assert (np.abs(guess - exact) <= error).mean() > 0.95
+    assert np.abs(guess - exact).mean() < 0.4 * error.mean()
+
+
+@pytest.mark.parametrize("clustered", [True, False])
+def test_recall_over_many_blocks(spark, monkeypatch, clustered):
+    for name, value in (("CELL", 100), ("BLOCK", 60), ("SAMPLE", 1_000), ("PILOTS", 200)):
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(2)
+    centres = r.standard_normal((40, 32)) * 3
+    vectors = centres[r.integers(0, 40, 4_000)] + 0.3 * r.standard_normal((4_000, 32)) if clustered else r.standard_normal((4_000, 32))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "vec_id bigint, embedding array<double>")
+    got = ann.search(frame.filter("vec_id % 20 = 0"), frame).toPandas()
+    exact = vectors[::20] @ vectors.T
+    exact[np.arange(200), np.arange(0, 4_000, 20)] = -np.inf
+    want = np.argsort(-exact, axis=1)[:, :20]
+    found = got.groupby("query_id").vec_id.apply(set)
+    assert sum(len(found[i * 20] & set(want[i].tolist())) for i in range(200)) >= 0.9 * 4_000
+    assert np.allclose(got.score, [(vectors[q] * vectors[i]).sum() for q, i in zip(got.query_id, got.vec_id, strict=True)])
+    cells = ann.fit(ann.valid_vectors(frame, "vec_id", "embedding"), 20)[32]
+    assert cells.blocks.sum() >= 60
+    if clustered:
+        # A query visits few cells, and few of their vectors are scored exactly.
+        assert cells.visits <= 0.4 * len(cells.centres)
+        cell, scored, met = ann.nearest(cells.centres, vectors), 0, 0
+        queries = vectors[::20]
+        _, bounds = cells.first(np.arange(0, 4_000, 20), queries, 20)
+        visited = cells.order(queries)[:, : cells.visits]
+        for c in range(len(cells.centres)):
+            own, q = np.flatnonzero(cell == c), np.flatnonzero((visited == c).any(axis=1))
+            if len(own) and len(q):
+                bits, length, fit = ann.encode(vectors[own] - cells.centres[c])
+                scored += ann.search_block(q * 20, ann.Asked.of(queries[q]), bounds[q], own, bits, length, fit, vectors[own], cells.centres[c], 20)[1]
+                met += len(own) * len(q)
+        assert scored < 0.5 * met and scored < 0.08 * 200 * 4_000, (scored, met)
 
 
 # Chat
@@ -221,6 +284,12 @@ def test_windows(spark):
         texts = [re.sub(r"(?s)\\(.)", r"\1", re.match(r"(?s)(?:[^\\\n]|\\.)*\n(.*)", x.removeprefix(chat.HEAD))[1]) for x in body[:-1]]
         costs = [(cost[t] if t in cost and cost[t] is not None else 0) + chat.OVERHEAD for t in texts]
         assert sum(costs) <= 128 or w.n_turns - w.n_repeated <= 1
+        roles = [re.match(r"(?s)((?:[^\\\n]|\\.)*)\n", x.removeprefix(chat.HEAD))[1] for x in body[:-1]]
+        begins = sorted(by[w.conv_id])[0][2] == "system"
+        assert not begins or roles[0] == "system"
+        # Repeated turns, but for the system turn, lie within the history budget.
+        own = costs[begins : w.n_repeated]
+        assert sum(own) <= 32
 
 
 def _col(name):
@@ -404,6 +473,32 @@ def test_near_copies_beyond_the_simhash_budget_are_dropped(spark):
     assert out.columns == docs.columns
     assert sorted(x.doc_id for x in out.collect()) == want
     assert len(want) < len(simhash.keep_one(docs).collect())
+
+
+def test_open_buckets_are_settled_in_blocks(spark, monkeypatch):
+    """A large group of near copies that differ from each other: blocks of few nodes, links equal those of all pairs."""
+    import corpus_pipeline
+    from termfall.llm import similar
+
+    monkeypatch.setattr(similar, "BLOCK", 8)
+    r = random.Random(77)
+    base = [f"w{r.randrange(9000)}" for _ in range(160)]
+    texts = []
+    for _ in range(90):
+        copy = base[:]
+        for i in r.sample(range(160), r.choice([1, 3, 4, 6, 8])):
+            copy[i] = f"v{r.randrange(9000)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(set(similar_brute(texts, list(range(90))).tolist()))
+    assert 3 < len(want) < 90
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+
+
+def test_near_copies_without_texts(spark):
+    import corpus_pipeline
+
+    docs = spark.createDataFrame([(1, "a b c d e f", "c")], "doc_id bigint, text string, fp string")
     nulls = spark.createDataFrame([(None, "a b"), (None, "a b"), (None, "c d"), (5, "c d")], "doc_id bigint, text string")
     assert sorted((x.doc_id for x in corpus_pipeline.drop_near_copies(spark, nulls, "").collect()), key=str) == [5, None]
     assert corpus_pipeline.drop_near_copies(spark, docs.filter("false"), "").collect() == []
