@@ -1,7 +1,7 @@
 """Quality rules: counted rules plus perplexity under a modified Kneser-Ney model of characters per language.
 
-The model has n-grams of ORDER code points, kept apart by case, digit and sign. It is a table that grows with the corpus and is never
-broadcast or collected; documents meet the part of it that they ask for:
+The model has n-grams of ORDER code points, kept apart by case, digit and sign. It is a table that grows with the corpus and is not
+broadcast; documents meet the part of it that they ask for:
 
 1. Texts are packed into chunks of one language (compressed Arrow streams of about CHUNK bytes, one row each).
 2. Each chunk counts its distinct n-grams, and in how many texts each is found. Sums over the chunks are the corpus counts. An n-gram is
@@ -9,8 +9,9 @@ broadcast or collected; documents meet the part of it that they ask for:
 3. Spark turns counts into probabilities, level by level: raw counts at the top, counts of distinct characters to the left below,
    three discounts per language and level, interpolation down to the uniform distribution. n-grams found in one text only
    don't count (a text's own would vouch for it); they are asked for, and back off.
-4. The probabilities go back to the chunks that asked, by a plain join: a chunk's part of the model is two sorted arrays, hashed keys
-   and log probabilities, probed by vectorised binary search at each position of its texts.
+4. The probabilities go back to the chunks that asked. The most frequent n-grams, which nearly all chunks ask for, are broadcast, HEAD at most;
+   the others come by a plain join. A chunk's part of the model is two sorted arrays, hashed keys and log probabilities, probed by
+   vectorised binary search at each position of its texts.
 
 A document is rejected when a counted rule fails or when its mean negative log probability per character leaves its language's
 band. A text of L characters deviates by chance as sqrt(1 / L + 1 / LONG) does; with that as unit, the band reaches from the median
@@ -26,6 +27,7 @@ more; extra columns are passed by (score_quality) or kept (keep_quality).
 
 from __future__ import annotations
 
+import bz2
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +41,9 @@ from .common import joined, map_slices, pieces, shared_dir, size_of, slices, to_
 
 ORDER = 5
 #: Bytes of text in a chunk, about, and in an input task at least (as files hold them).
-CHUNK, TASK = 16 << 20, 32 << 20
+CHUNK, TASK = 16 << 20, 48 << 20
+#: n-grams that are broadcast: those whose count reaches the least power of two that so many don't exceed.
+HEAD = 1 << 18
 #: Documents with fewer words fail.
 LEAST_WORDS = 50
 #: Reach of a band below and above the median, in scales; the least scale; characters beyond which a text's deviation hardly falls.
@@ -130,8 +134,7 @@ def _key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 class Part:
     """A part of a model: sorted hashes of n-grams and their log probabilities."""
 
-    def __init__(self, hi: np.ndarray, lo: np.ndarray, log_probs: np.ndarray) -> None:
-        keys = _key(hi, lo)
+    def __init__(self, keys: np.ndarray, log_probs: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], log_probs[order]
 
@@ -151,16 +154,17 @@ class Part:
         return np.bincount(owner, self.of(hi, lo), minlength=len(texts))
 
 
-def _written(batches: list[pa.RecordBatch]) -> bytes:
+def _stored(batches: list[pa.RecordBatch]) -> bytes:
+    """Batches as one compressed Arrow stream. Block sorting packs texts best, and they travel twice."""
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+    with pa.ipc.new_stream(out, batches[0].schema) as writer:
         for b in batches:
             writer.write_batch(b)
-    return out.getvalue().to_pybytes()
+    return bz2.compress(out.getvalue())
 
 
 def _read(stored: pa.Scalar) -> pa.Table:
-    return pa.ipc.open_stream(stored.as_buffer()).read_all().combine_chunks()
+    return pa.ipc.open_stream(bz2.decompress(stored.as_buffer())).read_all().combine_chunks()
 
 
 _CHUNKS = "chunk bigint, lang string, rows binary"
@@ -181,7 +185,7 @@ def chunks(rows: DataFrame) -> DataFrame:
             nonlocal number
             number += 1
             size.pop(lang)
-            return pa.RecordBatch.from_pylist([{"chunk": number - 1, "lang": lang, "rows": _written(held.pop(lang))}], schema=arrow)
+            return pa.RecordBatch.from_pylist([{"chunk": number - 1, "lang": lang, "rows": _stored(held.pop(lang))}], schema=arrow)
 
         for batch in batches:
             which = batch.column(0).dictionary_encode()
@@ -202,7 +206,7 @@ def chunks(rows: DataFrame) -> DataFrame:
 
 
 def asked(packed: DataFrame) -> DataFrame:
-    """(chunk, lang, hi, lo, n, texts): the distinct n-grams of each chunk."""
+    """(chunk, lang, hi, lo, n, texts): the distinct n-grams of each chunk; texts stops at 2."""
     schema = "chunk bigint, lang string, hi bigint, lo bigint, n bigint, texts bigint"
     arrow = to_arrow(packed.sparkSession, schema)
 
@@ -215,7 +219,7 @@ def asked(packed: DataFrame) -> DataFrame:
                         found.append(ngrams(own))
                 if found:
                     hi, lo, n, texts = _summed(*map(np.concatenate, zip(*found, strict=True)))
-                    yield from pieces({"chunk": np.full(len(hi), chunk), "lang": [lang] * len(hi), "hi": hi, "lo": lo, "n": n, "texts": texts}, arrow)
+                    yield from pieces({"chunk": np.full(len(hi), chunk), "lang": [lang] * len(hi), "hi": hi, "lo": lo, "n": n, "texts": np.minimum(texts, 2)}, arrow)
 
     return written(packed.mapInArrow(run, schema), "ngrams")
 
@@ -238,7 +242,7 @@ def _keys(level: int) -> tuple[list[Column], list[Column], list[Column]]:
 
 
 def probabilities(counts: DataFrame) -> DataFrame:
-    """(lang, hi, lo, p) of counts (lang, hi, lo, c): modified Kneser-Ney; n-grams with c = 0 are asked for only."""
+    """(lang, hi, lo, c, p) of counts (lang, hi, lo, c): modified Kneser-Ney; n-grams with c = 0 are asked for only."""
     levels = {ORDER: counts.select("lang", "hi", "lo", "c")}
     for k in range(ORDER - 1, 0, -1):
         hi, lo = _keys(k)[0]
@@ -255,19 +259,32 @@ def probabilities(counts: DataFrame) -> DataFrame:
         gamma = F.when(F.col("total") > 0, F.col("gamma") / F.col("total")).otherwise(1.0)
         mine = F.when(c > 0, (c - F.col("cut")) / F.col("total")).otherwise(0.0)
         if below is None:
-            below = rows.select("lang", "hi", "lo", (mine + gamma / F.col("signs")).alias("p"))
+            below = rows.select("lang", "hi", "lo", "c", (mine + gamma / F.col("signs")).alias("p"))
         else:
-            rows = rows.select("lang", "hi", "lo", mine.alias("mine"), gamma.alias("gamma"), suffix[0].alias("shi"), suffix[1].alias("slo"))
+            rows = rows.select("lang", "hi", "lo", "c", mine.cast("float").alias("mine"), gamma.cast("float").alias("gamma"))
             low = below.select(F.col("lang").alias("slang"), F.col("hi").alias("shi"), F.col("lo").alias("slo"), F.col("p").alias("sp"))
-            rows = rows.join(low, (rows["lang"] == low["slang"]) & (rows["shi"] == low["shi"]) & (rows["slo"] == low["slo"]))
-            below = rows.select("lang", "hi", "lo", (F.col("mine") + F.col("gamma") * F.col("sp")).alias("p"))
+            rows = rows.join(low, (F.col("lang") == F.col("slang")) & (suffix[0] == F.col("shi")) & (suffix[1] == F.col("slo")))
+            below = rows.select("lang", "hi", "lo", "c", (F.col("mine") + F.col("gamma") * F.col("sp")).alias("p"))
     return below
 
 
 def fit(found: DataFrame) -> DataFrame:
-    """The model (lang, hi, lo, p) of the chunks' n-grams: a row for each that is found anywhere."""
+    """The model (lang, hi, lo, c, lp) of the chunks' n-grams: a row for each that is found anywhere, with its log probability."""
     sums = found.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
-    return probabilities(written(sums.select("lang", "hi", "lo", F.when(F.col("texts") > 1, F.col("n")).otherwise(0).alias("c")), "counts"))
+    counts = written(sums.select("lang", "hi", "lo", F.when(F.col("texts") > 1, F.col("n")).otherwise(0).alias("c")), "counts")
+    return written(probabilities(counts).select("lang", "hi", "lo", "c", F.log("p").cast("float").alias("lp")), "model")
+
+
+def head_of(model: DataFrame) -> DataFrame:
+    """The most frequent n-grams of the model, HEAD at most."""
+    size = F.floor(F.log2("c")).cast("int")
+    left, least = HEAD, 63
+    for k, n in sorted(map(tuple, model.filter("c > 0").groupBy(size).agg(F.count("*")).collect()), reverse=True):  # a row for each power of two
+        left -= n
+        if left < 0:
+            break
+        least = k
+    return model.filter(F.col("c") >= F.lit(1 << least))
 
 
 def base_counts(text: str | None) -> tuple[int, int, int, int, int]:
@@ -309,15 +326,24 @@ def measured(rows: DataFrame, kept: list[int]) -> DataFrame:
     """Rows (lang, text, ...) as the columns at `kept`, the language, and what _MEASURES says."""
     packed = chunks(rows)
     found = asked(packed)
-    model = fit(found).select("lang", "hi", "lo", F.log("p").cast("float").alias("lp"))
-    parts = found.select("chunk", "lang", "hi", "lo").join(model, ["lang", "hi", "lo"]).select("chunk", "hi", "lo", "lp")
+    model = fit(found)
+    head = head_of(model)
+    held = head.select("lang", "hi", "lo", "lp").toArrow()
+    coded = held["lang"].combine_chunks().dictionary_encode()
+    keys, values = _key(held["hi"].to_numpy(), held["lo"].to_numpy()), held["lp"].to_numpy()
+    by_lang = {lang: (keys[own], values[own]) for i, lang in enumerate(coded.dictionary.to_pylist()) for own in (coded.indices.to_numpy() == i,)}
+    shared = rows.sparkSession.sparkContext.broadcast(by_lang)
+    tail = found.select("chunk", "lang", "hi", "lo").join(F.broadcast(head.select("lang", "hi", "lo")), ["lang", "hi", "lo"], "left_anti")
+    parts = tail.join(model.select("lang", "hi", "lo", "lp"), ["lang", "hi", "lo"]).select("chunk", "hi", "lo", "lp")
     schema = StructType([StructField("m_lang", rows.schema[0].dataType), *[rows.schema[i] for i in kept], *_MEASURES])
     from pyspark.sql.pandas.types import to_arrow_schema
 
     arrow = to_arrow_schema(schema)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        part = Part(*[right.column(i).to_numpy() for i in (1, 2, 3)])
+        hi, lo, lp = (right.column(i).to_numpy() for i in (1, 2, 3))
+        first = shared.value.get(left.column(1)[0].as_py(), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)))
+        part = Part(np.concatenate((first[0], _key(hi, lo))), np.concatenate((first[1], lp)))
         out = []
         for stored in left.column(2):
             given = _read(stored)
