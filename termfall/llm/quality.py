@@ -278,7 +278,7 @@ def fit(found: DataFrame) -> DataFrame:
 def head_of(model: DataFrame) -> DataFrame:
     """The most frequent n-grams of the model, HEAD at most."""
     size = F.floor(F.log2("c")).cast("int")
-    left, least = HEAD, 63
+    left, least = HEAD, 62
     for k, n in sorted(map(tuple, model.filter("c > 0").groupBy(size).agg(F.count("*")).collect()), reverse=True):  # a row for each power of two
         left -= n
         if left < 0:
