@@ -43,12 +43,28 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a Parquet table in the shared folder, which takes less disk than a checkpoint and can be read by columns."""
+    """Cut the lineage with a Parquet table in the shared folder, which takes less disk than a checkpoint and can be read by columns.
+
+    The table is removed when the application ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    removed_at_end(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed_at_end(spark: SparkSession, path: str) -> None:
+    """Have a folder in the shared store removed when the driver ends."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Remove a folder in the shared store."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def few(df: DataFrame, most: int = MOST_BROADCAST) -> bool:
     """Whether df has at most so many rows."""
     return df.limit(most + 1).count() <= most

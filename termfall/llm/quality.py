@@ -37,19 +37,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import joined, map_slices, pieces, shared_dir, size_of, slices, to_arrow, written
+from .common import joined, pieces, shared_dir, size_of, slices, to_arrow, written
 
 ORDER = 5
 #: Bytes of text in a chunk, about, and in an input task at least (as files hold them).
 CHUNK, TASK = 16 << 20, 48 << 20
 #: n-grams that are broadcast: those whose count reaches the least power of two that so many don't exceed.
-HEAD = 1 << 18
+HEAD = 1 << 20
 #: Documents with fewer words fail.
 LEAST_WORDS = 50
 #: Reach of a band below and above the median, in scales; the least scale; characters beyond which a text's deviation hardly falls.
 BELOW, ABOVE, LEAST_SCALE, LONG = 5.0, 6.0, 0.2, 5_000
-#: Characters of a text that are counted at a time.
-WINDOW = 2_000_000
+#: Bytes of texts, and characters of a long text, that are worked on at a time.
+SLICE, WINDOW = 1 << 20, 1_000_000
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -68,13 +68,10 @@ def _packed(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _laid(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """hi and lo of the n-grams that end at each character of the texts, and the text each belongs to."""
+    """The texts' code points, each behind a pad; where the n-gram of each character begins; the text each belongs to."""
     points = np.frombuffer((_PAD + _PAD.join(texts)).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    lens = np.array([len(t) for t in texts], dtype=np.int64)
-    owner = np.repeat(np.arange(len(texts)), lens)
-    at = np.arange(len(owner)) + (ORDER - 1) * owner
-    hi, lo = _packed(points)
-    return hi[at], lo[at], owner
+    owner = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    return points, np.arange(len(owner)) + (ORDER - 1) * owner, owner
 
 
 def _windows(text: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -98,23 +95,27 @@ def ngrams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nda
         found = [_summed(*x, np.ones(len(x[0]), dtype=np.int64)) for x in _windows(texts[0])]
         hi, lo, n = _summed(*map(np.concatenate, zip(*found, strict=True)))
         return hi, lo, n, np.ones(len(n), dtype=np.int64)
-    hi, lo, owner = _laid(texts)
+    points, at, owner = _laid(texts)
     # Characters by number: few enough of them let n-gram and text share one integer, which sorts fast.
-    signs = np.unique(np.concatenate((lo & _MASK, np.array([ord("\n")]))))
+    signs = np.flatnonzero(np.bincount(points))
     base = len(signs)
     if base**ORDER * len(texts) < 1 << 63:
         rank = np.zeros(int(signs[-1]) + 1, dtype=np.int64)
         rank[signs] = np.arange(base)
-        code = rank[hi >> _BITS]
-        for x in (hi & _MASK, lo >> 2 * _BITS, lo >> _BITS & _MASK, lo & _MASK):
-            code = code * base + rank[x]
-        both = np.sort(code * len(texts) + owner)
+        x = rank[points]
+        size = len(x) - ORDER + 1
+        code = x[:size].copy()
+        for k in range(1, ORDER):
+            code *= base
+            code += x[k : size + k]
+        both = np.sort(code[at] * len(texts) + owner)
         code = both // len(texts)
         first = np.flatnonzero(np.concatenate(([True], code[1:] != code[:-1])))
         texts_of = np.add.reduceat(np.concatenate(([1], (both[1:] != both[:-1]).astype(np.int64))), first)
         n, code = np.diff(np.append(first, len(code))), code[first]
         c = [signs[code // base**k % base].astype(np.int64) for k in range(ORDER - 1, -1, -1)]
         return c[0] << _BITS | c[1], c[2] << 2 * _BITS | c[3] << _BITS | c[4], n, texts_of
+    hi, lo = (v[at] for v in _packed(points))
     order = np.lexsort((owner, lo, hi))
     hi, lo, owner = hi[order], lo[order], owner[order]
     new = np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])))
@@ -132,25 +133,41 @@ def _key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 class Part:
-    """A part of a model: sorted hashes of n-grams and their log probabilities."""
+    """A part of a model: sorted hashes of n-grams and their log probabilities.
+
+    Where the hashes of each head of bits begin is kept, so that a binary search is left with the few that share a head.
+    """
 
     def __init__(self, keys: np.ndarray, log_probs: np.ndarray) -> None:
         order = np.argsort(keys)
         self.keys, self.values = keys[order], log_probs[order]
+        bits = max(8, len(keys).bit_length() + 1)
+        self.shift = np.uint64(64 - bits)
+        self.starts = np.searchsorted(self.keys, np.arange(1 << bits, dtype=np.uint64) << self.shift).astype(np.int32)
+
+    def find(self, asked: np.ndarray) -> np.ndarray:
+        """Where each hash stands; -1 if it isn't there."""
+        if not len(self.keys):
+            return np.full(len(asked), -1)
+        at = np.minimum(self.starts[asked >> self.shift], len(self.keys) - 1)
+        rest = np.flatnonzero(self.keys[at] != asked)
+        at[rest] = found = np.minimum(np.searchsorted(self.keys, asked[rest]), len(self.keys) - 1)
+        at[rest[self.keys[found] != asked[rest]]] = -1
+        return at
 
     def of(self, hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
         """Log probabilities; every n-gram must be there."""
-        asked = _key(hi, lo)
-        at = np.searchsorted(self.keys, asked)
-        if len(asked) and (at.max() >= len(self.keys) or not np.array_equal(self.keys[at], asked)):
+        at = self.find(_key(hi, lo))
+        if len(at) and at.min() < 0:
             raise LookupError("an n-gram that was not asked for")
         return self.values[at]
 
     def sums(self, texts: list[str]) -> np.ndarray:
         """The summed log probabilities of each non-empty text."""
         if len(texts) == 1 and len(texts[0]) > WINDOW:
-            return np.array([sum(float(self.of(*x).sum()) for x in _windows(texts[0]))])
-        hi, lo, owner = _laid(texts)
+            return np.array([sum(float(self.of(*x).sum(dtype=np.float64)) for x in _windows(texts[0]))])
+        points, at, owner = _laid(texts)
+        hi, lo = (v[at] for v in _packed(points))
         return np.bincount(owner, self.of(hi, lo), minlength=len(texts))
 
 
@@ -167,11 +184,14 @@ def _read(stored: pa.Scalar) -> pa.Table:
     return pa.ipc.open_stream(bz2.decompress(stored.as_buffer())).read_all().combine_chunks()
 
 
-_CHUNKS = "chunk bigint, lang string, rows binary"
+_CHUNKS = "chunk bigint, lang string, rows binary, hi bigint, lo bigint, n bigint, texts bigint"
+
 
+def chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows (lang, text, ...) packed by task and language: (chunk, lang, rows), and the distinct n-grams of each chunk.
 
-def chunks(rows: DataFrame) -> DataFrame:
-    """Rows (lang, text, ...) packed by task and language: (chunk, lang, rows)."""
+    The latter are (chunk, lang, hi, lo, n, texts); texts stops at 2. Both come of one pass and lie in one table.
+    """
     arrow = to_arrow(rows.sparkSession, _CHUNKS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,11 +201,17 @@ def chunks(rows: DataFrame) -> DataFrame:
         size: dict[str, int] = {}
         number = TaskContext.get().partitionId() << 32
 
-        def flush(lang: str) -> pa.RecordBatch:
+        def flush(lang: str) -> Iterator[pa.RecordBatch]:
             nonlocal number
             number += 1
             size.pop(lang)
-            return pa.RecordBatch.from_pylist([{"chunk": number - 1, "lang": lang, "rows": _stored(held.pop(lang))}], schema=arrow)
+            own = held.pop(lang)
+            none = {"hi": None, "lo": None, "n": None, "texts": None}
+            yield pa.RecordBatch.from_pylist([{"chunk": number, "lang": lang, "rows": _stored(own), **none}], schema=arrow)
+            found = [ngrams(texts) for b in own for some in slices(b.column(1), SLICE) if (texts := [t for t in some if t])]
+            if found:
+                hi, lo, n, texts_of = _summed(*map(np.concatenate, zip(*found, strict=True)))
+                yield from pieces({"chunk": np.full(len(hi), number), "lang": [lang] * len(hi), "rows": [None] * len(hi), "hi": hi, "lo": lo, "n": n, "texts": np.minimum(texts_of, 2)}, arrow)
 
         for batch in batches:
             which = batch.column(0).dictionary_encode()
@@ -194,34 +220,16 @@ def chunks(rows: DataFrame) -> DataFrame:
                 held.setdefault(lang, []).append(own)
                 size[lang] = size.get(lang, 0) + own.nbytes
                 if size[lang] >= CHUNK:
-                    yield flush(lang)
+                    yield from flush(lang)
             while sum(size.values()) > 2 * CHUNK:
-                yield flush(max(size, key=size.get))
+                yield from flush(max(size, key=size.get))
         for lang in list(held):
-            yield flush(lang)
+            yield from flush(lang)
 
     spark = rows.sparkSession
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size_of(rows) // TASK))
-    return written(rows.coalesce(tasks).mapInArrow(run, _CHUNKS), "chunks")
-
-
-def asked(packed: DataFrame) -> DataFrame:
-    """(chunk, lang, hi, lo, n, texts): the distinct n-grams of each chunk; texts stops at 2."""
-    schema = "chunk bigint, lang string, hi bigint, lo bigint, n bigint, texts bigint"
-    arrow = to_arrow(packed.sparkSession, schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for chunk, lang, stored in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                found = []
-                for texts in slices(_read(stored).column(1).chunk(0)):
-                    if own := [t for t in texts if t]:
-                        found.append(ngrams(own))
-                if found:
-                    hi, lo, n, texts = _summed(*map(np.concatenate, zip(*found, strict=True)))
-                    yield from pieces({"chunk": np.full(len(hi), chunk), "lang": [lang] * len(hi), "hi": hi, "lo": lo, "n": n, "texts": np.minimum(texts, 2)}, arrow)
-
-    return written(packed.mapInArrow(run, schema), "ngrams")
+    both = written(rows.coalesce(tasks).mapInArrow(run, _CHUNKS), "chunks")
+    return both.filter("rows IS NOT NULL").select("chunk", "lang", "rows"), both.filter("rows IS NULL").drop("rows")
 
 
 def _discounts(counted: DataFrame) -> DataFrame:
@@ -324,16 +332,27 @@ _MEASURES = StructType([*[StructField(f"m_{c}", LongType()) for c in _COUNTS], S
 
 def measured(rows: DataFrame, kept: list[int]) -> DataFrame:
     """Rows (lang, text, ...) as the columns at `kept`, the language, and what _MEASURES says."""
-    packed = chunks(rows)
-    found = asked(packed)
+    packed, found = chunks(rows)
     model = fit(found)
     head = head_of(model)
     held = head.select("lang", "hi", "lo", "lp").toArrow()
     coded = held["lang"].combine_chunks().dictionary_encode()
     keys, values = _key(held["hi"].to_numpy(), held["lo"].to_numpy()), held["lp"].to_numpy()
-    by_lang = {lang: (keys[own], values[own]) for i, lang in enumerate(coded.dictionary.to_pylist()) for own in (coded.indices.to_numpy() == i,)}
+    by_lang = {lang: Part(keys[own], values[own]) for i, lang in enumerate(coded.dictionary.to_pylist()) for own in (coded.indices.to_numpy() == i,)}
+    none = Part(np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32))
     shared = rows.sparkSession.sparkContext.broadcast(by_lang)
-    tail = found.select("chunk", "lang", "hi", "lo").join(F.broadcast(head.select("lang", "hi", "lo")), ["lang", "hi", "lo"], "left_anti")
+
+    def unknown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hi, lo = (batch.column(i).to_numpy() for i in (2, 3))
+            which, keys = batch.column(1).dictionary_encode(), _key(hi, lo)
+            out = np.ones(len(keys), dtype=bool)
+            for i, lang in enumerate(which.dictionary.to_pylist()):
+                own = which.indices.to_numpy() == i
+                out[own] = shared.value.get(lang, none).find(keys[own]) < 0
+            yield batch.filter(pa.array(out))
+
+    tail = found.select("chunk", "lang", "hi", "lo").mapInArrow(unknown, "chunk bigint, lang string, hi bigint, lo bigint")
     parts = tail.join(model.select("lang", "hi", "lo", "lp"), ["lang", "hi", "lo"]).select("chunk", "hi", "lo", "lp")
     schema = StructType([StructField("m_lang", rows.schema[0].dataType), *[rows.schema[i] for i in kept], *_MEASURES])
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -342,14 +361,14 @@ def measured(rows: DataFrame, kept: list[int]) -> DataFrame:
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
         hi, lo, lp = (right.column(i).to_numpy() for i in (1, 2, 3))
-        first = shared.value.get(left.column(1)[0].as_py(), (np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.float32)))
-        part = Part(np.concatenate((first[0], _key(hi, lo))), np.concatenate((first[1], lp)))
+        first = shared.value.get(left.column(1)[0].as_py(), none)
+        part = Part(np.concatenate((first.keys, _key(hi, lo))), np.concatenate((first.values, lp)))
         out = []
         for stored in left.column(2):
             given = _read(stored)
             counts: list[tuple] = []
             nll: list[float | None] = []
-            for texts in slices(given.column(1).chunk(0)):
+            for texts in slices(given.column(1).chunk(0), SLICE):
                 counts += [(*base_counts(t), len(t or "")) for t in texts]
                 sums = iter(part.sums(own) if (own := [t for t in texts if t]) else ())
                 nll += [float(-next(sums)) / len(t) if t else None for t in texts]
