@@ -277,3 +277,17 @@ def redact_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None =
     if chars_col and chars_col in docs.columns:
         out = out.withColumn(chars_col, F.when(F.col(chars_col).isNotNull(), F.length(text_col).cast(docs.schema[chars_col].dataType)))
     return out
+
+
+#: The base kinds' numbers of spans in SQL.
+SQL = r"""
+WITH found AS (
+  SELECT doc_id, regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+') AS emails, regexp_extract_all(t, '[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)') AS ips,
+    [regexp_replace(m, '[^0-9]', '', 'g') FOR m IN regexp_extract_all(t, '[0-9]([\x20-]?[0-9])+')] AS cards, [regexp_replace(m, '[^0-9]', '', 'g') FOR m IN regexp_extract_all(t, '\+[0-9][\x20().0-9-]+[0-9]')] AS phones
+  FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+SELECT doc_id, len(emails) AS n_email,
+  len([m FOR m IN ips IF len([p FOR p IN string_split(m, '.') IF coalesce(try_cast(p AS HUGEINT), 256) > 255]) = 0]) AS n_ip,
+  len([d FOR d IN cards IF length(d) BETWEEN 13 AND 19 AND list_sum([CASE WHEN (length(d) - i) % 2 = 0 THEN CAST(d[i] AS INTEGER) WHEN d[i] > '4' THEN 2 * CAST(d[i] AS INTEGER) - 9 ELSE 2 * CAST(d[i] AS INTEGER) END FOR i IN range(1, length(d) + 1)]) % 10 = 0]) AS n_card,
+  len([d FOR d IN phones IF length(d) BETWEEN 9 AND 15]) AS n_phone
+FROM found
+"""

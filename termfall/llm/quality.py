@@ -423,3 +423,17 @@ def keep_quality(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     judged = _verdicts(measured(rows, list(range(1, len(rows.columns)))))
     names = [F.col("text" if c == at[text_col] else c).alias(name) for name, c in at.items()]
     return judged.filter("m_kept").select(*names)
+
+
+#: The counts and the base rules in SQL.
+SQL = f"""
+WITH given AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT doc_id, t, regexp_extract_all(t, '[^\\x20\\x09-\\x0D]+') AS w, [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '[^\\x20\\x09-\\x0D]')] AS lines FROM given),
+windows AS (SELECT doc_id, unnest(range(1, len(w) - 1)) AS i, w FROM words WHERE len(w) > 2),
+keyed AS (SELECT doc_id, i, w[i] AS a, w[i + 1] AS b, w[i + 2] AS c FROM windows),
+twice AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, a, b, c) AS n FROM keyed) WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest([0, 1, 2]) AS k) GROUP BY ALL)
+SELECT doc_id, len(w) AS n_words, length(regexp_replace(t, '[\\x20\\x09-\\x0D]', '', 'g')) AS word_chars, len(regexp_extract_all(t, '[#*$%&|<>]')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(w) < {LEAST_WORDS} OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
+FROM words LEFT JOIN covered USING (doc_id)
+"""

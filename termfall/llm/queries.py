@@ -53,6 +53,16 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"))
 
 
+def pii_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op8: the numbers of base spans."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def quality_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can express of op10: the counts and the base rules."""
+    return op10_quality(spark, sf_dir).drop("kept", "nll", "place")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_language_id": op2_language_id,
@@ -64,6 +74,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii": op8_pii,
     "op9_url_filters": op9_url_filters,
     "op10_quality": op10_quality,
+    "pii_counts": pii_counts,
+    "quality_counts": quality_counts,
 }
 
-ORACLE_SQL: dict[str, str] = {"op3_chat": chat.SQL, "op9_url_filters": urlfilter.SQL}
+ORACLE_SQL: dict[str, str] = {"op3_chat": chat.SQL, "op9_url_filters": urlfilter.SQL, "pii_counts": pii.SQL, "quality_counts": quality.SQL}

@@ -212,6 +212,18 @@ def test_encoded_documents(spark, codecs):
     assert bpe.encode_documents(frame(spark, texts).filter("false"), *bpe.production()).collect() == []
 
 
+@pytest.mark.parametrize("name", ["pii_counts", "quality_counts"])
+def test_counts_equal_sql(spark, duck, name):
+    from termfall.llm import queries
+
+    from ..conftest import SF, rows
+
+    got = queries.QUERIES[name](spark, SF).toPandas()
+    want = duck.sql(queries.ORACLE_SQL[name]).df()
+    assert sorted(got.columns) == sorted(want.columns)
+    assert rows(got, got.columns) == rows(want, want.columns)
+
+
 # Quality
 
 
