@@ -10,8 +10,9 @@ from .functions.analysis import Analyzer
 from .functions.scoring import Scoring
 from .operators import mutate
 from .operators import search as ops
-from .plans.index import Index, empty
+from .plans.index import Index, empty, of_forward
 from .sources import readers, storage
+from .sources.scratch import checkpointed
 
 
 class TextIndex:
@@ -41,14 +42,18 @@ class TextIndex:
             storage.save(index, self.path)
             self.index = storage.load(self.spark, self.path)
         else:
-            # Reliable or in-memory cuts are the caller's choice; a session's index stays a plan over cached relations.
-            self.index = Index(index.docs.cache(), index.postings.cache(), index.analyzer, index.scoring)
+            # Written at each change, so a plan never grows with the number of changes.
+            if index.forward is not None:
+                index = of_forward(checkpointed(index.forward), index.analyzer, index.scoring)
+            else:
+                index = Index(checkpointed(index.docs), checkpointed(index.postings), index.analyzer, index.scoring)
+            self.index = index
 
     def add(self, documents: Sequence[str]) -> list[int]:
         """Add texts; returns their ids."""
         start = len(self)
         docs = readers.from_list(self.spark, documents, start)
-        self._changed(mutate.add(self.index, docs))
+        self._changed(mutate.add(self.index, docs, check=False))
         return list(range(start, start + len(documents)))
 
     def add_bytes(self, data: bytes) -> list[int]:

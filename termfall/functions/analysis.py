@@ -1,16 +1,22 @@
 """Text to terms: lower case, ASCII folding, splitting, stopwords, stemming.
 
-The plain mode is a Catalyst expression. Folding and stemming have no built-in function: one Arrow UDF handles a batch of texts and
-remembers the result of each distinct chunk, so a corpus needs no shuffle to be analysed. A null text is an empty one.
+The plain mode is a Catalyst expression where terms are asked for. Folding and stemming have no built-in function, and counting the terms
+of a text in place has none that is linear: one Arrow UDF handles a batch of texts and remembers the result of each distinct chunk, so a
+corpus needs no shuffle to be analysed. A null text is an empty one.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -56,20 +62,60 @@ class Analyzer:
             return F.filter(parts, lambda x: ~x.isin(*sorted(STOPWORDS))) if self.use_stopwords else parts
         return self._udf()(text)
 
+    def counts(self, text: Column) -> Column:
+        """A struct of a text's length in terms and its distinct terms with their numbers: (dl, counts[(term, tf)])."""
+        split = self.splitter()
+
+        @F.arrow_udf(f"struct<dl: int, counts: array<{_COUNT}>>")
+        def counted(texts: pa.Array) -> pa.Array:
+            sizes, lens, terms, numbers = [0], [], [], []
+            for some in _slices(texts):
+                for t in some:
+                    found = Counter(split(t))
+                    lens.append(found.total())
+                    terms += found.keys()
+                    numbers += found.values()
+                    sizes.append(len(terms))
+            each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], ["term", "tf"])
+            return pa.StructArray.from_arrays([pa.array(lens, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], ["dl", "counts"])
+
+        # Not deterministic for the optimiser, which else runs it again for each field.
+        return counted.asNondeterministic()(text)
+
+    def splitter(self) -> Callable[[str | None], list[str]]:
+        """A function from a text to its terms, outside Spark."""
+        drop = STOPWORDS if self.use_stopwords else frozenset()
+        mode = self.mode
+        if mode == "plain":
+            return lambda text: [x for x in _words((text or "").lower()) if x not in drop]
+        return lambda text: _remembered(mode, drop)(text)
+
     def _udf(self):
-        mode, drop = self.mode, STOPWORDS if self.use_stopwords else frozenset()
+        split = self.splitter()
 
         @F.arrow_udf("array<string>")
         def analysed(texts: pa.Array) -> pa.Array:
-            chunk = _remembered(mode, drop)
-            return pa.array([chunk(t) for t in texts.to_pylist()], type=pa.list_(pa.string()))
+            rows = [split(t) for some in _slices(texts) for t in some]
+            sizes = [0]
+            for r in rows:
+                sizes.append(sizes[-1] + len(r))
+            return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), pa.array(list(chain.from_iterable(rows)), pa.string()))
 
         return analysed
 
 
-def is_alphanumeric(c: str) -> bool:
-    """Alphabetic or numeric, as Unicode has it: letters, numbers, and the marks that count as alphabetic."""
-    return c.isalpha() or c.isnumeric() or unicodedata.category(c) in ("Nl", "No", "Nd")
+_COUNT = "struct<term: string, tf: int>"
+
+
+def _slices(texts: pa.Array, most: int = 4 << 20) -> Iterator[list[str | None]]:
+    """The texts as lists of about so many bytes."""
+    start = size = 0
+    for i, n in enumerate(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+        if i > start and size + n > most:
+            yield texts.slice(start, i - start).to_pylist()
+            start, size = i, 0
+        size += n
+    yield texts.slice(start).to_pylist()
 
 
 def fold(text: str) -> str:
@@ -79,28 +125,17 @@ def fold(text: str) -> str:
 
 def analyze(text: str | None, analyzer: Analyzer) -> list[str]:
     """The terms of one text, outside Spark."""
-    if analyzer.mode == "plain":
-        drop = STOPWORDS if analyzer.use_stopwords else frozenset()
-        return [x for x in _words((text or "").lower()) if x not in drop]
-    return _remembered(analyzer.mode, STOPWORDS if analyzer.use_stopwords else frozenset())(text)
+    return analyzer.splitter()(text)
 
 
 _ASCII = re.compile(r"[A-Za-z0-9]+")
 _SPLIT = re.compile(r"[\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+#: Alphabetic or numeric, as Unicode has it: letters, the marks and signs that count as alphabetic, and numbers of any kind.
+_ANY = regex.compile(r"[\p{Alphabetic}\p{N}]+")
 
 
 def _words(text: str) -> list[str]:
-    if text.isascii():
-        return _ASCII.findall(text)
-    out, at = [], -1
-    for i, c in enumerate(text):
-        if is_alphanumeric(c):
-            if at < 0:
-                at = i
-        elif at >= 0:
-            out.append(text[at:i])
-            at = -1
-    return out if at < 0 else [*out, text[at:]]
+    return _ASCII.findall(text) if text.isascii() else _ANY.findall(text)
 
 
 _CACHES: dict = {}

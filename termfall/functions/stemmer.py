@@ -5,17 +5,17 @@ from __future__ import annotations
 import re
 
 _VOWELS = "aeiouy"
-_DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
-_LI = "cdeghkmnrt"
+DOUBLES = ("bb", "dd", "ff", "gg", "mm", "nn", "pp", "rr", "tt")
+LI = "cdeghkmnrt"
 
-_WHOLE = {
+WHOLE = {
     "skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie",
     "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl",
     **{w: w for w in ("sky", "news", "howe", "atlas", "cosmos", "bias", "andes")},
 }
-_AFTER_1A = frozenset(("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"))
+AFTER_1A = frozenset(("inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"))
 
-_STEP2 = sorted(
+STEP2 = sorted(
     {
         "tional": "tion", "enci": "ence", "anci": "ance", "abli": "able", "entli": "ent", "izer": "ize", "ization": "ize",
         "ational": "ate", "ation": "ate", "ator": "ate", "alism": "al", "aliti": "al", "alli": "al", "fulness": "ful",
@@ -24,11 +24,11 @@ _STEP2 = sorted(
     }.items(),
     key=lambda x: -len(x[0]),
 )
-_STEP3 = sorted(
+STEP3 = sorted(
     {"tional": "tion", "ational": "ate", "alize": "al", "icate": "ic", "iciti": "ic", "ical": "ic", "ful": "", "ness": "", "ative": None}.items(),
     key=lambda x: -len(x[0]),
 )
-_STEP4 = sorted(("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"), key=len, reverse=True)
+STEP4 = sorted(("al", "ance", "ence", "er", "ic", "able", "ible", "ant", "ement", "ment", "ent", "ism", "ate", "iti", "ous", "ive", "ize", "ion"), key=len, reverse=True)
 
 _REGION = re.compile(r"[aeiouy][^aeiouy]")
 
@@ -49,8 +49,8 @@ def stem(word: str) -> str:
     """The stem of a lower-case word."""
     if len(word) <= 2:
         return word
-    if word in _WHOLE:
-        return _WHOLE[word]
+    if word in WHOLE:
+        return WHOLE[word]
     w = word[1:] if word[0] == "'" else word
     # y is a consonant, written Y, at the start and after a vowel.
     if "y" in w:
@@ -78,7 +78,7 @@ def stem(word: str) -> str:
         w = w[:-2] if len(w) > 4 else w[:-1]
     elif w.endswith("s") and not w.endswith(("us", "ss")) and any(c in _VOWELS for c in w[:-2]):
         w = w[:-1]
-    if w in _AFTER_1A:
+    if w in AFTER_1A:
         return w
     # 1b
     if w.endswith(("eedly", "eed")):
@@ -92,7 +92,7 @@ def stem(word: str) -> str:
                     w = w[: -len(end)]
                     if w.endswith(("at", "bl", "iz")):
                         w += "e"
-                    elif w.endswith(_DOUBLES):
+                    elif w.endswith(DOUBLES):
                         w = w[:-1]
                     elif len(w) <= r1 and _short_syllable(w):
                         w += "e"
@@ -101,19 +101,19 @@ def stem(word: str) -> str:
     if len(w) > 2 and w[-1] in "yY" and w[-2] not in _VOWELS:
         w = w[:-1] + "i"
     # 2
-    for end, new in _STEP2:
+    for end, new in STEP2:
         if w.endswith(end):
             at = len(w) - len(end)
             if at >= r1:
                 if end == "ogi":
                     w = w[:-1] if w[at - 1 : at] == "l" else w
                 elif end == "li":
-                    w = w[:-2] if w[at - 1 : at] and w[at - 1] in _LI else w
+                    w = w[:-2] if w[at - 1 : at] and w[at - 1] in LI else w
                 else:
                     w = w[:at] + new
             break
     # 3
-    for end, new in _STEP3:
+    for end, new in STEP3:
         if w.endswith(end):
             at = len(w) - len(end)
             if at >= r1:
@@ -123,7 +123,7 @@ def stem(word: str) -> str:
                     w = w[:at]
             break
     # 4
-    for end in _STEP4:
+    for end in STEP4:
         if w.endswith(end):
             at = len(w) - len(end)
             if at >= r2 and (end != "ion" or w[at - 1 : at] in ("s", "t")):

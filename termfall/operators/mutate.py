@@ -8,56 +8,95 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.index import Index, build
+from ..sources.scratch import checkpointed
 
-
-#: Ids that one task ranks at a time.
-BUCKET = 65_536
+#: Ids of a bucket of the deletions' table; deletions that may be broadcast (a row of two longs each, and a row for each bucket).
+BUCKET, MOST_BROADCAST = 4_096, 100_000
 
 
 def numbered(docs: DataFrame, start: int, order_col: str, id_col: str = "doc_id") -> DataFrame:
-    """docs with ids start, start + 1, ... in the order of order_col, a unique whole number.
+    """docs with ids start, start + 1, ... in the order of order_col, a unique value of any kind that has an order.
 
-    Ranks are counted inside buckets of BUCKET consecutive numbers; only the buckets' counts are summed along a line.
+    Rows are dealt by ranges of the order, however sparse it is, and written; a task ranks its own range, and only the ranges' counts are
+    summed along a line. Repeated values are numbered in any order.
     """
-    placed = docs.withColumn("__bucket", F.col(order_col) - F.pmod(F.col(order_col), F.lit(BUCKET)))
-    sizes = placed.groupBy("__bucket").agg(F.count("*").alias("__n"))
-    before = sizes.select("__bucket", (F.sum("__n").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(order_col)) - 1
-    return placed.withColumn("__nth", within).join(before, "__bucket").withColumn(id_col, F.col("__before") + F.col("__nth") + F.lit(start).cast("bigint")).drop("__bucket", "__nth", "__before")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = checkpointed(docs.repartitionByRange(parts, order_col).withColumn("__part", F.spark_partition_id()))
+    sizes = placed.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")).alias("__before"))
+    within = F.row_number().over(Window.partitionBy("__part").orderBy(order_col)) - 1
+    # A row for each shuffle partition: its broadcast is bounded by that setting.
+    return placed.withColumn("__nth", within).join(F.broadcast(before), "__part").withColumn(id_col, F.col("__before") + F.col("__nth") + F.lit(start).cast("bigint")).drop("__part", "__nth", "__before")
+
+
+def _refuse_repeated(docs: DataFrame) -> None:
+    twice = docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").first()
+    if twice:
+        raise ValueError(f"document {twice['doc_id']} is given {twice['n']} times")
+
 
+def add(index: Index, docs: DataFrame, order_col: str | None = None, check: bool = True) -> Index:
+    """The index with more documents. Without order_col, docs brings its doc_id; with it, ids go on from the number of documents.
 
-def add(index: Index, docs: DataFrame, order_col: str | None = None) -> Index:
-    """The index with more documents. Without order_col, docs brings its doc_id; with it, ids go on from the number of documents."""
+    check: raise ValueError for an id that is given twice or is there already.
+    """
     if order_col:
         docs = numbered(docs.drop("doc_id") if order_col != "doc_id" else docs.withColumnRenamed("doc_id", "__order"), len(index), order_col if order_col != "doc_id" else "__order")
+    elif check:
+        _refuse_repeated(docs)
+        there = docs.join(index.docs.select("doc_id"), "doc_id", "left_semi").select("doc_id").first()
+        if there:
+            raise ValueError(f"document {there['doc_id']} is there already")
     more = build(docs.select("doc_id", "text"), index.analyzer, index.scoring)
-    return replace(index, docs=index.docs.unionByName(more.docs), postings=index.postings.unionByName(more.postings), stored_terms=None, stored_totals=None)
+    return replace(index, docs=index.docs.unionByName(more.docs), postings=index.postings.unionByName(more.postings), stored_terms=None, stored_totals=None, forward=None)
 
 
 def delete(index: Index, gone: DataFrame, compact: bool = True) -> Index:
     """The index without the ids of gone (doc_id). compact: later ids close the gaps, as positions in a list would.
 
-    Ids that don't exist and repeated ids make no difference.
+    Ids that don't exist and repeated ids make no difference. Up to MOST_BROADCAST deletions travel to the relations, which then aren't
+    shuffled; more are joined by a shuffle.
     """
-    gone = gone.select("doc_id").distinct().join(index.docs.select("doc_id"), "doc_id", "left_semi")
-    docs, postings = index.docs.join(gone, "doc_id", "left_anti"), index.postings.join(gone, "doc_id", "left_anti")
+    gone = checkpointed(gone.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(index.docs.select("doc_id"), "doc_id", "left_semi"))
+    few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    small = F.broadcast if few else (lambda df: df)
+    docs, postings = (df.join(small(gone), "doc_id", "left_anti") for df in (index.docs, index.postings))
     if compact:
-        moves = _moves(docs)
-        docs = docs.join(moves, "doc_id").select(F.col("to").alias("doc_id"), "dl")
-        postings = postings.join(moves, "doc_id").select("term", F.col("to").alias("doc_id"), "tf", "dl")
-    return replace(index, docs=docs.select("doc_id", "dl"), postings=postings.select("term", "doc_id", "tf", "dl"), stored_terms=None, stored_totals=None)
+        low, high, n = index.docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
+        if n and (low, high) == (0, n - 1):
+            docs, postings = (_shifted(df, gone, n, small) for df in (docs, postings))
+        else:
+            # Ids with gaps of their own: each id's rank among those that stay.
+            moves = numbered(docs.select("doc_id"), 0, "doc_id", "to").select("doc_id", "to")
+            docs, postings = (df.join(moves, "doc_id").withColumn("doc_id", F.col("to")) for df in (docs, postings))
+    return replace(index, docs=docs.select("doc_id", "dl"), postings=postings.select("term", "doc_id", "tf", "dl"), stored_terms=None, stored_totals=None, forward=None)
+
 
+def _shifted(df: DataFrame, gone: DataFrame, n: int, small) -> DataFrame:
+    """df, whose ids were 0 to n - 1, with each id less the number of deleted ids below it.
 
-def _moves(docs: DataFrame) -> DataFrame:
-    """(doc_id, to): each id's rank among those that stay."""
-    return numbered(docs.select("doc_id"), 0, "doc_id", "to").select("doc_id", "to")
+    A bucket of ids has its deleted ones as an array, and their number before it.
+    """
+    held = gone.groupBy(F.floor(F.col("doc_id") / BUCKET).alias("b")).agg(F.array_sort(F.collect_list("doc_id")).alias("own"))
+    buckets = df.sparkSession.range(-(-n // BUCKET)).withColumnRenamed("id", "b").join(small(held), "b", "left")
+    # One row for each BUCKET ids; sums over runs of BUCKET buckets, and of runs, so that no task has them all.
+    size = F.coalesce(F.size("own"), F.lit(0)).cast("bigint")
+    run = F.floor(F.col("b") / BUCKET)
+    within = buckets.withColumns({"run": run, "size": size}).withColumn("upto", F.sum("size").over(Window.partitionBy("run").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
+    runs = within.groupBy("run").agg(F.sum("size").alias("n"))
+    runs = runs.select("run", (F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
+    table = within.join(runs, "run").select("b", "own", (F.col("before") + F.col("upto") - F.col("size")).alias("before"))
+    table = F.broadcast(table) if n <= BUCKET * MOST_BROADCAST else table
+    below = F.size(F.filter(F.coalesce("own", F.array().cast("array<bigint>")), lambda x: x < F.col("doc_id")))
+    return df.withColumn("b", F.floor(F.col("doc_id") / BUCKET)).join(table, "b").withColumn("doc_id", F.col("doc_id") - F.col("before") - below).drop("b", "own", "before")
 
 
 def update(index: Index, docs: DataFrame, check: bool = True) -> Index:
-    """The index with other texts for the ids of docs (doc_id, text). check: raise IndexError for an id that doesn't exist."""
+    """The index with other texts for the ids of docs (doc_id, text). check: raise IndexError for an id that doesn't exist, ValueError for one that is given twice."""
     if check:
         missing = docs.join(index.docs.select("doc_id"), "doc_id", "left_anti").select("doc_id").first()
         if missing:
             raise IndexError(f"no document {missing['doc_id']}")
+        _refuse_repeated(docs)
     kept = delete(index, docs, compact=False)
-    return add(kept, docs)
+    return add(kept, docs, check=False)

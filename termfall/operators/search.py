@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..plans.index import Index
+from ..plans.index import Index, counted, postings_of
 
 DIGITS = 6
 
@@ -18,9 +18,9 @@ DIGITS = 6
 def query_terms(index: Index, queries: DataFrame) -> DataFrame:
     """(query_id, term, idf, avgdl): distinct known terms of (query_id, query)."""
     asked = queries.select("query_id", F.explode(F.array_distinct(index.analyzer.terms(F.col("query")))).alias("term"))
-    totals = index.totals
+    n, average = map(F.lit, index.numbers) if index.numbers else (index.totals.select(c).scalar() for c in ("num_docs", "avgdl"))
     known = asked.join(index.terms, "term")
-    return known.select("query_id", "term", index.scoring.idf(totals.select("num_docs").scalar(), F.col("df")).alias("idf"), totals.select("avgdl").scalar().alias("avgdl"))
+    return known.select("query_id", "term", index.scoring.idf(n, F.col("df")).alias("idf"), average.cast("double").alias("avgdl"))
 
 
 def scores(index: Index, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
@@ -54,12 +54,10 @@ def score(queries: DataFrame, docs: DataFrame, index: Index) -> DataFrame:
     The documents of a query are its corpus. index lends its settings only.
     """
     analyzer, scoring = index.analyzer, index.scoring
-    from ..plans.index import postings_of
-
-    tokens = docs.select("query_id", "doc_id", analyzer.terms(F.col("text")).alias("terms"))
-    totals = tokens.groupBy("query_id").agg(F.count("*").alias("n"), F.try_divide(F.sum(F.size("terms")).cast("double"), F.count("*")).alias("avgdl"))
+    forward = counted(docs, analyzer, "doc_id", "text", "query_id")
+    totals = forward.groupBy("query_id").agg(F.count("*").alias("n"), F.try_divide(F.sum("dl").cast("double"), F.count("*")).alias("avgdl"))
     asked = queries.select("query_id", F.explode(F.array_distinct(analyzer.terms(F.col("query")))).alias("term"))
-    held = postings_of(tokens, "query_id").join(asked, ["query_id", "term"])
+    held = postings_of(forward, "query_id").join(asked, ["query_id", "term"])
     known = held.groupBy("query_id", "term").agg(F.count("*").alias("df")).join(totals, "query_id").select("query_id", "term", scoring.idf(F.col("n"), F.col("df")).alias("idf"), "avgdl")
     part = F.col("idf") * scoring.tf(F.col("tf"), F.col("dl"), F.col("avgdl"))
     sums = held.join(known, ["query_id", "term"]).groupBy("query_id", "doc_id").agg(F.round(F.sum(part), DIGITS).alias("score"))

@@ -1,5 +1,8 @@
 """An index is relations: docs (doc_id, dl), postings (term, doc_id, tf, dl), terms (term, df), and totals.
 
+Texts become one row each, with their terms counted in place (the forward rows); postings are those rows laid out by term. So building takes no shuffle but the
+layout of a stored index.
+
 A posting carries its document's length, so scoring needs no join with docs. Raw frequencies are kept and scores are computed when a
 query comes, so documents can be added and removed without rewriting scores.
 """
@@ -7,6 +10,7 @@ query comes, so documents can be added and removed without rewriting scores.
 from __future__ import annotations
 
 from dataclasses import dataclass, field, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,6 +29,8 @@ class Index:
     scoring: Scoring = field(default_factory=Scoring)
     stored_terms: DataFrame | None = None
     stored_totals: DataFrame | None = None
+    #: Analysed documents that docs and postings both come from, where they do: whoever writes both analyses once.
+    forward: DataFrame | None = None
 
     @property
     def terms(self) -> DataFrame:
@@ -39,6 +45,11 @@ class Index:
         sums = self.docs.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_tokens"))
         return sums.withColumn("avgdl", F.try_divide(F.col("total_tokens").cast("double"), F.col("num_docs")))
 
+    @cached_property
+    def numbers(self) -> tuple[int, float | None] | None:
+        """num_docs and avgdl of a stored index, read once; None if they are still to be computed."""
+        return tuple(self.stored_totals.select("num_docs", "avgdl").first()) if self.stored_totals is not None else None
+
     def scored_by(self, scoring: Scoring) -> Index:
         """The same index under another formula: nothing is computed anew."""
         return replace(self, scoring=scoring)
@@ -50,22 +61,26 @@ class Index:
         return len(self) == 0
 
 
-def analysed(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, terms)"""
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), analyzer.terms(F.col(text_col)).alias("terms"))
+def counted(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text", *keys: str) -> DataFrame:
+    """(keys, doc_id, dl, counts): a row per document with its terms, counted where the text lies. No shuffle."""
+    each = docs.select(*keys, F.col(id_col).cast("bigint").alias("doc_id"), analyzer.counts(F.col(text_col)).alias("c"))
+    return each.select(*keys, "doc_id", F.col("c.dl").alias("dl"), F.col("c.counts").alias("counts"))
+
+
+def postings_of(forward: DataFrame, *keys: str) -> DataFrame:
+    """(keys, term, doc_id, tf, dl) of (keys, doc_id, dl, counts)."""
+    return forward.select(*keys, "doc_id", "dl", F.inline("counts")).select(*keys, "term", "doc_id", "tf", "dl")
 
 
-def postings_of(tokens: DataFrame, *keys: str) -> DataFrame:
-    """(keys, term, doc_id, tf, dl) of (keys, doc_id, terms): a document's terms are summed in its own task before the shuffle."""
-    each = tokens.select(*keys, "doc_id", F.size("terms").alias("dl"), F.explode("terms").alias("term"))
-    return each.groupBy(*keys, "term", "doc_id").agg(F.count("*").cast("int").alias("tf"), F.first("dl").alias("dl")).select(*keys, "term", "doc_id", "tf", "dl")
+def of_forward(forward: DataFrame, analyzer: Analyzer, scoring: Scoring) -> Index:
+    """The index of analysed documents (doc_id, dl, counts)."""
+    return Index(forward.select("doc_id", "dl"), postings_of(forward), analyzer, scoring, forward=forward)
 
 
 def build(docs: DataFrame, analyzer: Analyzer | None = None, scoring: Scoring | None = None, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """The index of a table of documents. Lazy: nothing runs until it is read. Ids must be unique; a null text is an empty document."""
     analyzer = analyzer or Analyzer()
-    tokens = analysed(docs, analyzer, id_col, text_col)
-    return Index(tokens.select("doc_id", F.size("terms").alias("dl")), postings_of(tokens), analyzer, scoring or Scoring())
+    return of_forward(counted(docs, analyzer, id_col, text_col), analyzer, scoring or Scoring())
 
 
 def empty(spark, analyzer: Analyzer | None = None, scoring: Scoring | None = None) -> Index:

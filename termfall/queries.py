@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .functions.analysis import STOPWORDS, Analyzer
+from .functions import stemmer
+from .functions.analysis import MODES, STOPWORDS, Analyzer
 from .functions.scoring import METHODS, Scoring
 from .operators import evaluate, mutate
 from .operators import search as ops
 from .plans.index import Index, build
 from .sources import readers, storage
+from .sources.scratch import shared_dir
 from .streaming import ingest
 
 ASKED = ("thing reen the The", "und keitung der nicht", "aique que mentre", "ciónmi adoó para", "zzzunknown password the of", "unknownword")
@@ -63,18 +64,74 @@ def _terms_sql(text: str, stop: bool = False, fold: bool = False) -> str:
     return f"[x FOR x IN regexp_split_to_array({text}, '[^\\p{{L}}\\p{{N}}]+') IF {keep}]"
 
 
-def _relations(docs: str = _DOCS, stop: bool = False, fold: bool = False) -> str:
+def _cut(w: str, n: int | str) -> str:
+    return f"left({w}, length({w}) - {n})"
+
+
+def _first(w: str, ends: Iterable[tuple[str, str]]) -> str:
+    """What becomes of w by its first ending; the rest is as it was."""
+    return "CASE " + " ".join(f"WHEN ends_with({w}, '{end}') THEN {then}" for end, then in ends) + f" ELSE {w} END"
+
+
+def _when(condition: str, then: str, w: str = "w") -> str:
+    return f"CASE WHEN {condition} THEN {then} ELSE {w} END"
+
+
+def _short(x: str) -> str:
+    return f"(regexp_matches({x}, '^[aeiouy][^aeiouy]$') OR regexp_matches({x}, '[^aeiouy][aeiouy][^aeiouywxY]$'))"
+
+
+def _stems_sql(words: str) -> str:
+    """CTEs that end in stems(term, stem) of a relation words(term): Porter2 as relations, one for each step."""
+    region = "'^.*?[aeiouy][^aeiouy]'"
+    whole = "CASE term " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in stemmer.WHOLE.items()) + " END"
+    at = lambda end: f"length(w) - {len(end)}"
+    before = lambda end: f"substr(w, length(w) - {len(end)}, 1)"
+    step2 = []
+    for end, new in stemmer.STEP2:
+        fine, then = f"{at(end)} >= r1", f"{_cut('w', len(end))} || '{new}'"
+        if end == "ogi":
+            fine, then = f"{fine} AND {before(end)} = 'l'", _cut("w", 1)
+        elif end == "li":
+            fine, then = f"{fine} AND {before(end)} <> '' AND contains('{stemmer.LI}', {before(end)})", _cut("w", 2)
+        step2.append((end, _when(fine, then)))
+    step3 = [(end, _when(f"{at(end)} >= {'r1' if new is not None else 'r2'}", f"{_cut('w', len(end))} || '{new or ''}'")) for end, new in stemmer.STEP3]
+    step4 = [(end, _when(f"{at(end)} >= r2" + (f" AND {before(end)} IN ('s', 't')" if end == "ion" else ""), _cut("w", len(end)))) for end in stemmer.STEP4]
+    doubles = ", ".join(f"'{x}'" for x in stemmer.DOUBLES)
+    grown = f"CASE WHEN right(b, 2) IN ('at', 'bl', 'iz') THEN b || 'e' WHEN right(b, 2) IN ({doubles}) THEN {_cut('b', 1)} WHEN length(b) <= r1 AND {_short('b')} THEN b || 'e' ELSE b END"
+    ings = " ".join(f"WHEN ends_with(w, '{e}') THEN {len(e)}" for e in ("ingly", "edly", "ing", "ed"))
+    return f"""p0 AS (SELECT DISTINCT term, CASE WHEN length(term) <= 2 THEN term ELSE {whole} END AS done, regexp_replace(regexp_replace(term, '^y', 'Y'), '([aeiouy])y', '\\1Y', 'g') AS w FROM {words}),
+p1 AS (SELECT *, CASE WHEN starts_with(w, 'gener') OR starts_with(w, 'arsen') THEN 5 WHEN starts_with(w, 'commun') THEN 6 ELSE coalesce(nullif(length(regexp_extract(w, {region})), 0), length(w)) END AS r1 FROM p0),
+p2 AS (SELECT *, r1 + coalesce(nullif(length(regexp_extract(substr(w, r1 + 1), {region})), 0), length(w) - r1) AS r2 FROM p1),
+p3 AS (SELECT term, r1, r2, done, CASE WHEN ends_with(w, 'sses') THEN {_cut("w", 2)} WHEN ends_with(w, 'ied') OR ends_with(w, 'ies') THEN {_cut("w", "CASE WHEN length(w) > 4 THEN 2 ELSE 1 END")}
+  WHEN ends_with(w, 's') AND right(w, 2) NOT IN ('us', 'ss') AND regexp_matches({_cut("w", 2)}, '[aeiouy]') THEN {_cut("w", 1)} ELSE w END AS w FROM p2),
+p4 AS (SELECT term, r1, r2, coalesce(done, CASE WHEN w IN ({", ".join(f"'{x}'" for x in sorted(stemmer.AFTER_1A))}) THEN w END) AS done, w, CASE {ings} END AS n FROM p3),
+p5 AS (SELECT *, CASE WHEN regexp_matches({_cut("w", "n")}, '[aeiouy]') THEN {_cut("w", "n")} END AS b FROM p4),
+p6 AS (SELECT term, r1, r2, done, CASE WHEN ends_with(w, 'eedly') THEN {_when("length(w) - 5 >= r1", _cut("w", 3))} WHEN ends_with(w, 'eed') THEN {_when("length(w) - 3 >= r1", _cut("w", 1))} WHEN b IS NOT NULL THEN {grown} ELSE w END AS w FROM p5),
+p7 AS (SELECT * REPLACE ({_when("length(w) > 2 AND right(w, 1) IN ('y', 'Y') AND NOT contains('aeiouy', substr(w, length(w) - 1, 1))", _cut("w", 1) + " || 'i'")} AS w) FROM p6),
+p8 AS (SELECT * REPLACE ({_first("w", step2)} AS w) FROM p7), p9 AS (SELECT * REPLACE ({_first("w", step3)} AS w) FROM p8), p10 AS (SELECT * REPLACE ({_first("w", step4)} AS w) FROM p9),
+p11 AS (SELECT * REPLACE (CASE WHEN ends_with(w, 'e') THEN {_when("length(w) - 1 >= r2 OR (length(w) - 1 >= r1 AND NOT " + _short(_cut("w", 1)) + ")", _cut("w", 1))} WHEN ends_with(w, 'll') AND length(w) - 1 >= r2 THEN {_cut("w", 1)} ELSE w END AS w) FROM p10),
+stems AS (SELECT term, replace(coalesce(done, w), 'Y', 'y') AS stem FROM p11)"""
+
+
+def _relations(docs: str = _DOCS, stop: bool = False, fold: bool = False, stem: bool = False, asked: str = "SELECT NULL AS query") -> str:
+    tokens = "tok AS (SELECT doc_id, unnest(terms) AS term FROM bag)"
+    if stem:
+        tokens = f"""raw AS (SELECT doc_id, unnest(terms) AS term FROM bag), asked_raw AS (SELECT unnest({_terms_sql("query", stop, fold)}) AS term FROM ({asked})),
+words AS (SELECT term FROM raw UNION SELECT term FROM asked_raw), {_stems_sql("words")}, tok AS (SELECT doc_id, stem AS term FROM raw JOIN stems USING (term))"""
     return f"""d AS ({docs}), bag AS (SELECT doc_id, {_terms_sql("text", stop, fold)} AS terms FROM d),
-lens AS (SELECT doc_id, len(terms) AS dl FROM bag), tok AS (SELECT doc_id, unnest(terms) AS term FROM bag),
+lens AS (SELECT doc_id, len(terms) AS dl FROM bag), {tokens},
 post AS (SELECT term, doc_id, count(*) AS tf FROM tok GROUP BY ALL), dfs AS (SELECT term, count(*) AS df FROM post GROUP BY ALL),
 st AS (SELECT count(*)::DOUBLE AS n, sum(dl)::DOUBLE AS total, sum(dl)::DOUBLE / count(*) AS a FROM lens)"""
 
 
-def _search_sql(docs: str = _DOCS, asked: str = _ASKED_SQL, method: str = "lucene", stop: bool = False, fold: bool = False, where: str = "", k: int = K, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tail: str | None = None, more: str = "") -> str:
+def _search_sql(docs: str = _DOCS, asked: str = _ASKED_SQL, method: str = "lucene", stop: bool = False, fold: bool = False, where: str = "", k: int = K, k1: float = 1.5, b: float = 0.75, delta: float = 0.5, tail: str | None = None, more: str = "", stem: bool = False) -> str:
     idf, tf = _tf(method, k1, b, delta)
     tail = tail or "SELECT query_id, rank, doc_id, score FROM ranked"
-    return f"""WITH {_relations(docs, stop, fold)}, q AS ({asked}),
-qt AS (SELECT DISTINCT query_id, term FROM (SELECT query_id, unnest({_terms_sql("query", stop, fold)}) AS term FROM q)),
+    given = f"SELECT query_id, unnest({_terms_sql('query', stop, fold)}) AS term FROM q"
+    given = f"SELECT query_id, stem AS term FROM ({given}) JOIN stems USING (term)" if stem else given
+    return f"""WITH {_relations(docs, stop, fold, stem, asked)}, q AS ({asked}),
+qt AS (SELECT DISTINCT query_id, term FROM ({given})),
 sc AS (SELECT query_id, doc_id, round(sum(({idf}) * ({tf})), {ops.DIGITS}) AS score
   FROM post JOIN qt USING (term) JOIN dfs USING (term) JOIN lens USING (doc_id), st {where} GROUP BY ALL),
 ranked AS (SELECT * FROM (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM sc WHERE score > 0) WHERE rank <= {k}){more}
@@ -166,23 +223,29 @@ def update_then_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stored_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index is saved, loaded and searched."""
-    path = f"{_scratch(spark)}/index-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/index-{uuid.uuid4().hex}"
     storage.save(_index(spark, sf_dir), path)
     return ops.search(storage.load(spark, path), _asked(spark), K)
 
 
-def streamed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The documents come as a stream; their segments are searched."""
-    path = f"{_scratch(spark)}/stream-{uuid.uuid4().hex}"
+def _streamed(spark: SparkSession, sf_dir: str) -> str:
+    """The documents come as a stream; returns where their segments are."""
+    path = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
     schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
     stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parque[t]").select("doc_id", "text")  # a pattern: a file or a folder
-    ingest.ingest(stream, path, f"{path}/log", PLAIN).awaitTermination()
-    return ops.search(ingest.segments(spark, path, PLAIN), _asked(spark), K)
+    ingest.ingest(stream, path, f"{path}-log", PLAIN).awaitTermination()
+    return path
 
 
-def _scratch(spark: SparkSession) -> str:
-    """The shared folder, or a temporary one where none is set, as in tests."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="indexes-")).rstrip("/")
+def compacted_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streamed segments are made one stored index, which is searched."""
+    path = _streamed(spark, sf_dir)
+    return ops.search(ingest.compact(spark, path, f"{path}-stored"), _asked(spark), K)
+
+
+def streamed_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents come as a stream; their segments are searched."""
+    return ops.search(ingest.segments(spark, _streamed(spark, sf_dir)), _asked(spark), K)
 
 
 def _titled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,25 +258,29 @@ def title_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.search(build(docs, PLAIN), _asked(spark), K)
 
 
-def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The whole text of each toxic document asks for that document."""
-    texts = _table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id").distinct().join(_docs(spark, sf_dir), "doc_id")
-    return texts.select(F.col("doc_id").alias("query_id"), F.col("text").alias("query")), texts.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(1).alias("rel"))
+def _known(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every page is a document (its text without tags, and its title); its title asks for it. Documents, queries and judgements."""
+    title, body = F.regexp_extract("html", "<title>([^<]*)</title>", 1), F.regexp_replace("html", "<[^>]*>", " ")
+    pages = _table(spark, sf_dir, "pages").select(F.col("page_id").alias("doc_id"), F.coalesce(title, F.lit("")).alias("title"), F.coalesce(body, F.lit("")).alias("text"))
+    return pages, pages.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query")), pages.select(F.col("doc_id").alias("query_id"), "doc_id", F.lit(1).alias("rel"))
 
 
 def ndcg_known_item(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, qrels = _known(spark, sf_dir)
-    return evaluate.ndcg(ops.search(_index(spark, sf_dir), queries, K), qrels, K)
+    docs, queries, qrels = _known(spark, sf_dir)
+    return evaluate.ndcg(ops.search(build(docs, PLAIN), queries, K), qrels, K)
 
 
 def method_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, qrels = _known(spark, sf_dir)
-    return evaluate.grid(_docs(spark, sf_dir), queries, qrels, [PLAIN], [Scoring(m) for m in METHODS])
+    return evaluate.grid(*_known(spark, sf_dir), [PLAIN], [Scoring(m) for m in METHODS])
 
 
 def tokenizer_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, qrels = _known(spark, sf_dir)
-    return evaluate.grid(_docs(spark, sf_dir), queries, qrels, [Analyzer(m) for m in ("plain", "unicode", "stem", "unicode_stem")], [Scoring()])
+    return evaluate.grid(*_known(spark, sf_dir), [Analyzer(m) for m in MODES], [Scoring()])
+
+
+def title_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles not at all, once and three times before the text, under two formulas."""
+    return evaluate.grid(*_known(spark, sf_dir), [PLAIN], [Scoring("lucene"), Scoring("bm25l")], titles=(0, 1, 3))
 
 
 def lines_source(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -238,9 +305,21 @@ def synthetic_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.synthetic(spark, 100_000, SYNTHETIC_WORDS)
 
 
-_KNOWN_SQL = "SELECT doc_id AS query_id, text AS query FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)"
+_TITLE_SQL, _BODY_SQL = "coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), '')", "coalesce(regexp_replace(html, '<[^>]*>', ' ', 'g'), '')"
+_KNOWN_SQL = f"SELECT page_id AS query_id, {_TITLE_SQL} AS query FROM pages"
 _NDCG_SQL = "SELECT q.query_id, round(coalesce(1 / log2(rank + 1), 0.0), 6) AS ndcg FROM q LEFT JOIN ranked r ON r.query_id = q.query_id AND r.doc_id = q.query_id"
 
+
+
+def _grid_sql(mode: str = "plain", method: str = "lucene", times: int = 0, **analysis: bool) -> str:
+    docs = f"SELECT page_id AS doc_id, repeat({_TITLE_SQL} || ' ', {times}) || {_BODY_SQL} AS text FROM pages"
+    tail = f"SELECT '{mode}' AS mode, '{method}' AS method, {times} AS title, round(avg(ndcg), 6) AS ndcg FROM each"
+    return f"SELECT * FROM ({_search_sql(docs, _KNOWN_SQL, method, more=', each AS (' + _NDCG_SQL + ')', tail=tail, **analysis)})"
+
+
+#: How each mode's SQL analyses; with stopwords.
+_MODES_SQL = {"plain": {"stop": True}, "unicode": {"stop": True, "fold": True}, "stem": {"stop": True, "stem": True}, "unicode_stem": {"stop": True, "fold": True, "stem": True}}
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "search_lucene": _method("lucene"),
     "search_robertson": _method("robertson"),
@@ -273,6 +352,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ndcg_known_item": ndcg_known_item,
     "method_grid": method_grid,
     "tokenizer_grid": tokenizer_grid,
+    "title_grid": title_grid,
+    "compacted_search": compacted_search,
     "lines_source": lines_source,
     "synthetic_corpus": synthetic_corpus,
 }
@@ -298,7 +379,7 @@ ORACLE_SQL: dict[str, str] = {
     "search_subset_batch": _search_sql(where="WHERE (query_id, doc_id) IN (SELECT (0, doc_id) FROM labels UNION ALL SELECT (1, doc_id) FROM labels WHERE toxic = 1 UNION ALL SELECT (2, doc_id) FROM labels WHERE quality = 1)"),
     "search_lang_filter": _search_sql(where="WHERE doc_id IN (SELECT doc_id FROM documents WHERE lang = 'en')"),
     "search_stopwords": _search_sql(stop=True),
-    "search_unicode": _search_sql(stop=True, fold=True),
+    **{f"search_{m}": _search_sql(**_MODES_SQL[m]) for m in MODES if m != "plain"},
     "query_analysis": _search_sql(tail="SELECT query_id, term, round(ln(1 + (n - df + 0.5) / (df + 0.5)), 6) AS idf FROM qt JOIN dfs USING (term), st"),
     "score_adhoc": _score_sql(f"SELECT r.range AS query_id, item_id AS doc_id, text FROM benchmark, range({len(ASKED)}) r"),
     "score_batch": _score_sql("SELECT CASE lang WHEN 'en' THEN 0 WHEN 'de' THEN 1 WHEN 'fr' THEN 2 WHEN 'es' THEN 3 ELSE 5 END AS query_id, doc_id, text FROM documents"),
@@ -313,7 +394,10 @@ ORACLE_SQL: dict[str, str] = {
     "stored_search": _search_sql(),
     "streamed_search": _search_sql(),
     "title_boost": _search_sql("SELECT page_id AS doc_id, repeat(regexp_extract(html, '<title>([^<]*)</title>', 1) || ' ', 3) || coalesce(url, '') AS text FROM pages"),
-    "ndcg_known_item": _search_sql(asked=_KNOWN_SQL, tail=_NDCG_SQL),
-    "method_grid": " UNION ALL ".join(f"SELECT * FROM ({_search_sql(asked=_KNOWN_SQL, method=m, more=', each AS (' + _NDCG_SQL + ')', tail=f'''SELECT 'plain' AS mode, '{m}' AS method, 0 AS title, round(avg(ndcg), 6) AS ndcg FROM each''')})" for m in METHODS),
+    "compacted_search": _search_sql(),
+    "ndcg_known_item": _search_sql(f"SELECT page_id AS doc_id, {_BODY_SQL} AS text FROM pages", _KNOWN_SQL, tail=_NDCG_SQL),
+    "method_grid": " UNION ALL ".join(_grid_sql(method=m) for m in METHODS),
+    "tokenizer_grid": " UNION ALL ".join(_grid_sql(m, **_MODES_SQL[m]) for m in MODES),
+    "title_grid": " UNION ALL ".join(_grid_sql(method=m, times=t) for t in (0, 1, 3) for m in ("lucene", "bm25l")),
     "lines_source": "SELECT doc_id, CAST(generate_subscripts(parts, 1) - 1 AS INTEGER) AS line, unnest(parts) AS text FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)",
 }

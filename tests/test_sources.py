@@ -43,11 +43,29 @@ def test_stored_searches_push_terms_down(spark, tmp_path):
 
 
 def test_another_version_is_refused(spark, tmp_path):
-    (tmp_path / "manifest.json").write_text(json.dumps({"version": 99}))
+    (tmp_path / "manifest-000000000001.json").write_text(json.dumps({"version": 99}))
     with pytest.raises(ValueError, match="version 99"):
         storage.load(spark, str(tmp_path))
 
 
+def test_versions_and_crashes(spark, tmp_path):
+    path = str(tmp_path / "i")
+    made = [build(readers.from_list(spark, TEXTS[: i + 1]), Analyzer("plain")) for i in range(4)]
+    with pytest.raises(FileNotFoundError):
+        storage.load(spark, path)
+    for i, index in enumerate(made):
+        storage.save(index, path)
+        assert len(storage.load(spark, path)) == i + 1
+    # The one before stays for its readers, older ones are gone.
+    assert len(list(tmp_path.glob("i/v-*"))) == len(list(tmp_path.glob("i/manifest-*.json"))) == storage.KEPT
+    # A writer that died left a version without a manifest, and a draft: nothing changes.
+    (tmp_path / "i/v-dead").mkdir()
+    (tmp_path / "i/.manifest-000000000005.json-x").write_text("{")
+    assert len(storage.load(spark, path)) == 4
+    assert not storage.write_text(spark, storage._manifest(path, 4), "{}")
+    assert not list(tmp_path.glob("i/v-*/forward"))
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "t.txt").write_bytes(b"a\r\n\nb\n")
     assert [r.text for r in readers.read_lines(spark, str(tmp_path / "t.txt")).collect()] == ["a\r", "", "b"]
@@ -73,13 +91,27 @@ def test_stream_equals_batch(spark, tmp_path):
     docs = readers.from_list(spark, TEXTS * 3)
     docs.repartition(3).write.parquet(source)
     stream = spark.readStream.schema("doc_id bigint, text string").option("maxFilesPerTrigger", 1).parquet(source)
-    out = str(tmp_path / "out")
-    ingest.ingest(stream, out, f"{out}/log").awaitTermination()
+    out, log = str(tmp_path / "out"), str(tmp_path / "log")
+    ingest.ingest(stream, out, log).awaitTermination()
     assert relations(ingest.segments(spark, out)) == relations(build(docs))
     # Later documents become further segments.
     readers.from_list(spark, ["later text"], 100).write.mode("append").parquet(source)
-    ingest.ingest(stream, out, f"{out}/log").awaitTermination()
+    ingest.ingest(stream, out, log).awaitTermination()
     assert len(ingest.segments(spark, out)) == 13
+    stored = ingest.compact(spark, out, str(tmp_path / "stored"))
+    assert relations(stored) == relations(ingest.segments(spark, out))
+    # How texts were analysed is kept: another analysis is refused.
+    assert ingest.segments(spark, out).analyzer == Analyzer()
+    with pytest.raises(ValueError, match="stored with"):
+        ingest.segments(spark, out, Analyzer("plain"))
+    with pytest.raises(ValueError, match="stored with"):
+        ingest.ingest(stream, out, log, Analyzer("plain"))
+    # So is an id that comes again.
+    readers.from_list(spark, ["other text"], 100).write.mode("append").parquet(source)
+    ingest.ingest(stream, out, log).awaitTermination()
+    with pytest.raises(ValueError, match="document 100 was ingested 2 times"):
+        ingest.segments(spark, out)
+    assert len(ingest.segments(spark, out, check=False)) == 14
 
 
 def test_ndcg(spark):
