@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import to_arrow, written
+from .common import small_batches, to_arrow, written
 
 SEED = 7
 #: Vectors of a sample at most, and their bytes; vectors of a cell and of a block, about; cells at most.
@@ -268,6 +268,7 @@ def _coded(rows: DataFrame, cells: dict[int, Cells], with_vectors: bool) -> Data
 
 def codes(frame: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 20) -> DataFrame:
     """The index: a row (dim, cell, block, id, bits, length, fit) for every vector that takes part."""
+    small_batches(frame.sparkSession)
     rows = valid_vectors(frame, id_col, vector_col)
     return _coded(rows, fit(rows, k), with_vectors=False).drop("v")
 
@@ -335,6 +336,7 @@ def _questions(asked: DataFrame, cells: dict[int, Cells], k: int) -> DataFrame:
 def search(queries: DataFrame, candidates: DataFrame, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k nearest candidates by inner product, but for the row of its own id."""
     spark = candidates.sparkSession
+    small_batches(spark)
     rows, asked = valid_vectors(candidates, id_col, vector_col), valid_vectors(queries, id_col, vector_col)
     cells = fit(rows, k)
     questions = written(_questions(asked, cells, k), "questions")

@@ -26,6 +26,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 #: Characters of encoded pre-tokens that a worker remembers before it starts anew.
 REMEMBERED = 4 << 20
@@ -144,6 +146,7 @@ _DDL = "struct<n_tokens: bigint, ids: array<int>, ids_sha256: string, decoded_sh
 
 def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True) -> DataFrame:
     """A row per document: id, number of tokens, ids (on demand), digests of the ids and of the decoded bytes."""
+    small_batches(docs.sparkSession)
     tokens = docs.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     ids_type = pa.list_(pa.int32())
     kind = pa.struct([("n_tokens", pa.int64()), ("ids", ids_type), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())])
@@ -169,6 +172,7 @@ def _names(n: int) -> list[str]:
 
 def decode_ids(frame: DataFrame, ranks_path: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """All columns of frame and the bytes that each list of ids stands for (null ids: null)."""
+    small_batches(frame.sparkSession)
     tokens = frame.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
 
     @F.arrow_udf("binary")

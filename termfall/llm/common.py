@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -12,7 +13,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Bytes of text that Python code works on at a time; Spark bounds the Arrow batches themselves by 64 MB.
+#: Bytes of text that Python code works on at a time, and bytes of an Arrow batch.
 SLICE_BYTES = 4 << 20
 #: Rows that may be broadcast by hint; more are joined by a shuffle.
 MOST_BROADCAST = 50_000
@@ -23,6 +24,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch to SLICE_BYTES, the same for all operators; a lower one stays."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    given = re.fullmatch(r"(-?\d+)b?", spark.conf.get(name))
+    if not given or not 0 < int(given[1]) <= SLICE_BYTES:
+        spark.conf.set(name, str(SLICE_BYTES))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only where none is set, as in tests."""
     given = spark.conf.get("spark.checkpoint.dir", None)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, ranges, slices, to_arrow
+from .common import pieces, ranges, slices, small_batches, to_arrow
 
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
@@ -86,6 +86,7 @@ def words_of(texts: list[str | None]) -> tuple[list[np.ndarray], np.ndarray, np.
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tuple[list[str], np.ndarray]:
     """Languages by name, and log probabilities [bucket, language], from all rows with a language."""
     spark = docs.sparkSession
+    small_batches(spark)
     schema = "lang string, bucket int, n bigint"
     arrow = to_arrow(spark, schema)
 
@@ -171,6 +172,7 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str = "text") -> Column:
     """A struct column: lang_pred, score, and the languages of the document with their proportions."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast((names, table))
     kind = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languages", pa.list_(pa.string())), ("shares", pa.list_(pa.float64()))])
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 
 BASE = ("email", "ip", "card", "phone")
 ADDED = ("address", "account", "secret")
@@ -263,11 +265,13 @@ def spans_column(text: Column) -> Column:
 
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row per document: id, counts by kind, digest of the base spans, all spans."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col(id_col), spans_column(F.col(text_col)).alias("__pii")).select(id_col, "__pii.*")
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text", chars_col: str | None = "n_chars", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """All columns and rows of docs, spans in the text replaced, the count of characters kept in step."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("string")
     def cleaned(texts: pa.Array) -> pa.Array:

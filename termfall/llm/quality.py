@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import joined, pieces, shared_dir, size_of, slices, to_arrow, written
+from .common import joined, pieces, shared_dir, size_of, slices, small_batches, to_arrow, written
 
 ORDER = 5
 #: Bytes of text in a chunk, about, and in an input task at least (as files hold them).
@@ -332,6 +332,7 @@ _MEASURES = StructType([*[StructField(f"m_{c}", LongType()) for c in _COUNTS], S
 
 def measured(rows: DataFrame, kept: list[int]) -> DataFrame:
     """Rows (lang, text, ...) as the columns at `kept`, the language, and what _MEASURES says."""
+    small_batches(rows.sparkSession)
     packed, found = chunks(rows)
     model = fit(found)
     head = head_of(model)

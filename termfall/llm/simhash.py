@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, slices, to_arrow
+from .common import checkpointed, slices, small_batches, to_arrow
 from .components import components
 
 BITS = 3
@@ -59,6 +59,7 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", words: int = 3, out_col: str = "fp") -> DataFrame:
     """All columns of docs and the fingerprint as a (signed) long."""
+    small_batches(docs.sparkSession)
 
     @F.arrow_udf("bigint")
     def made(texts: pa.Array) -> pa.Array:

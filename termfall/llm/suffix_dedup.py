@@ -40,7 +40,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ranges, slices, to_arrow
+from .common import checkpointed, ranges, slices, small_batches, to_arrow
 
 LENGTH = 200
 GRAM = 64  # a power of two
@@ -351,6 +351,7 @@ def _by_digest(listed: DataFrame) -> DataFrame:
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(keyed texts, spans of repeated bytes by row key). Spans may overlap and touch."""
     spark = docs.sparkSession
+    small_batches(spark)
     given, text = F.col(id_col).cast("string"), F.col(text_col)
     d, h = (F.xxhash64(F.lit(seed), given.isNull(), given, text.isNull(), text) for seed in (1, 2))
     keyed = docs.select(F.col(id_col).alias("id"), d.alias("d"), h.alias("h"), text.alias("text"))

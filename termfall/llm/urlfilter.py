@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_slices
+from .common import map_slices, small_batches
 
 #: (verdict, host, path)
 RULES = (
@@ -151,6 +151,7 @@ def _handed_out(spark, entries: Iterable[str]) -> str:
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", rules: Sequence[tuple[str, str, str]] = RULES, blocked: Iterable[str] | DataFrame | None = None) -> DataFrame:
     """A row per page: id, host, path, the rule that decided (or null), the verdict, the listed entry that blocked it (or null)."""
+    small_batches(pages.sparkSession)
     if isinstance(blocked, DataFrame):
         blocked = (r[0] for r in blocked.toLocalIterator())
     name = _handed_out(pages.sparkSession, production() if blocked is None else blocked)
