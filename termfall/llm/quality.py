@@ -263,8 +263,10 @@ def probabilities(counts: DataFrame) -> DataFrame:
         cut = F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).when(c == 1, F.col("d1")).otherwise(0.0)
         # A context's n-grams are as many as there are characters, at most.
         by = Window.partitionBy("lang", *context)
-        rows = rows.withColumns({"cut": cut, "total": F.sum("c").over(by), "gamma": F.sum(cut).over(by), "signs": F.count("*").over(by)})
-        gamma = F.when(F.col("total") > 0, F.col("gamma") / F.col("total")).otherwise(1.0)
+        # Whole numbers are summed, so the order of rows makes no difference.
+        ones, twos, more = (F.count_if(x).over(by) for x in (c == 1, c == 2, c >= 3))
+        rows = rows.withColumns({"cut": cut, "total": F.sum("c").over(by), "cuts": F.col("d1") * ones + F.col("d2") * twos + F.col("d3") * more, "signs": F.count("*").over(by)})
+        gamma = F.when(F.col("total") > 0, F.col("cuts") / F.col("total")).otherwise(1.0)
         mine = F.when(c > 0, (c - F.col("cut")) / F.col("total")).otherwise(0.0)
         if below is None:
             below = rows.select("lang", "hi", "lo", "c", (mine + gamma / F.col("signs")).alias("p"))
@@ -398,12 +400,18 @@ def _place() -> Column:
     return off / F.when(off < 0, F.lit(BELOW)).otherwise(F.lit(ABOVE))
 
 
+def _median(rows: DataFrame, by: list[str], value: Column, digits: int, name: str) -> DataFrame:
+    """The median of a value, rounded to so many digits, by groups. Rounded values are counted first, with partial sums: no group's rows meet in one task."""
+    counted = rows.select(*by, F.round(value, digits).alias("v")).filter("v IS NOT NULL").groupBy(*by, "v").agg(F.count("*").alias("n"))
+    return counted.groupBy(*by).agg(F.percentile("v", 0.5, F.col("n")).alias(name))
+
+
 def bands(scored: DataFrame) -> DataFrame:
-    """(m_lang, m_mid, m_scale) from rows (m_lang, m_nll, m_chars) by mergeable sketches: no language's rows meet in one task."""
+    """(m_lang, m_mid, m_scale) from rows (m_lang, m_nll, m_chars)."""
     scored = scored.select("m_lang", "m_nll", "m_chars")
-    middle = written(scored.groupBy("m_lang").agg(F.percentile_approx("m_nll", 0.5, 10_000).alias("m_mid")), "medians")
+    middle = written(_median(scored, ["m_lang"], F.col("m_nll"), 4, "m_mid"), "medians")
     off = F.abs(F.col("m_nll") - F.col("m_mid")) / _unit()
-    spread = joined(scored, middle, "m_lang").groupBy("m_lang", "m_mid").agg(F.percentile_approx(off, 0.5, 10_000).alias("m_mad"))
+    spread = _median(joined(scored, middle, "m_lang"), ["m_lang", "m_mid"], off, 3, "m_mad")
     return spread.select("m_lang", "m_mid", F.greatest(F.lit(LEAST_SCALE), 1.4826 * F.col("m_mad")).alias("m_scale"))
 
 
