@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.analysis import Analyzer
@@ -14,6 +15,9 @@ from .plans.index import Index, empty, of_forward
 from .sources import readers, storage
 from .sources.scratch import checkpointed
 
+#: Terms that a scan may be filtered by.
+MOST_TERMS = 1_000
+
 
 class TextIndex:
     """A mutable handle on an immutable Index. Ids are positions: deleting closes gaps, adding goes on at the end.
@@ -73,8 +77,11 @@ class TextIndex:
         """Replace a text. Raises IndexError for an id that doesn't exist."""
         self._changed(mutate.update(self.index, readers.from_list(self.spark, [text], doc_id)))
 
+    def _queries(self, query: Sequence[str]) -> DataFrame:
+        return readers.local(self.spark, {"query_id": pa.array(range(len(query)), pa.int32()), "query": pa.array(query, pa.string())})
+
     def _ids(self, ids: Sequence[int]) -> DataFrame:
-        return self.spark.createDataFrame([(int(i),) for i in ids], "doc_id bigint")
+        return readers.local(self.spark, {"doc_id": pa.array([int(i) for i in ids], pa.int64())})
 
     def search(self, query: str | Sequence[str], k: int, subset: Sequence[int] | Sequence[Sequence[int]] | None = None):
         """[(id, score)] for a string, a list of such lists for a list of strings.
@@ -85,10 +92,16 @@ class TextIndex:
             return self.search([query], k, None if subset is None else [subset])[0]
         if subset is not None and len(subset) != len(query):
             raise ValueError(f"{len(query)} queries, {len(subset)} subsets")
-        allowed = None if subset is None else self.spark.createDataFrame([(i, int(d)) for i, own in enumerate(subset) for d in own], "query_id int, doc_id bigint")
-        queries = self.spark.createDataFrame(list(enumerate(query)), "query_id int, query string")
+        allowed = None
+        if subset is not None:
+            pairs = [(i, int(d)) for i, own in enumerate(subset) for d in own]
+            allowed = readers.local(self.spark, {"query_id": pa.array([i for i, _ in pairs], pa.int32()), "doc_id": pa.array([d for _, d in pairs], pa.int64())})
+        queries = self._queries(query)
+        # The terms are known here: few of them reach the scan of the postings as a filter.
+        split = self.index.analyzer.splitter()
+        terms = sorted({t for q in query for t in split(q)})
         out: list[list[tuple[int, float]]] = [[] for _ in query]
-        for r in ops.search(self.index, queries, k, allowed).orderBy("query_id", "rank").collect():  # k rows a query
+        for r in ops.search(self.index, queries, k, allowed, terms if len(terms) <= MOST_TERMS else None).orderBy("query_id", "rank").collect():  # k rows a query
             out[r["query_id"]].append((r["doc_id"], r["score"]))
         return out
 
@@ -99,8 +112,9 @@ class TextIndex:
         if len(query) != len(documents):
             raise ValueError(f"{len(query)} queries, {len(documents)} lists of documents")
         rows = [(q, i, t) for q, own in enumerate(documents) for i, t in enumerate(own)]
-        docs = self.spark.createDataFrame(rows, "query_id int, doc_id bigint, text string")
-        queries = self.spark.createDataFrame(list(enumerate(query)), "query_id int, query string")
+        number, place, texts = zip(*rows, strict=True) if rows else ((), (), ())
+        docs = readers.local(self.spark, {"query_id": pa.array(number, pa.int32()), "doc_id": pa.array(place, pa.int64()), "text": pa.array(texts, pa.string())})
+        queries = self._queries(query)
         out: list[list[float]] = [[0.0] * len(own) for own in documents]
         for r in ops.score(queries, docs, self.index).collect():
             out[r["query_id"]][r["doc_id"]] = r["score"]

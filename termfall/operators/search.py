@@ -23,8 +23,10 @@ def query_terms(index: Index, queries: DataFrame) -> DataFrame:
     return known.select("query_id", "term", index.scoring.idf(n, F.col("df")).alias("idf"), average.cast("double").alias("avgdl"))
 
 
-def scores(index: Index, queries: DataFrame, subset: DataFrame | None = None) -> DataFrame:
+def scores(index: Index, queries: DataFrame, subset: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
     """(query_id, doc_id, score) of all documents that hold a query term."""
+    if terms is not None:
+        index = index.only(terms)
     found = index.postings.join(query_terms(index, queries), "term")
     if subset is not None:
         keys = ["query_id", "doc_id"] if "query_id" in subset.columns else ["doc_id"]
@@ -39,13 +41,14 @@ def top(scored: DataFrame, k: int) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "doc_id", "score")
 
 
-def search(index: Index, queries: DataFrame, k: int, subset: DataFrame | None = None) -> DataFrame:
+def search(index: Index, queries: DataFrame, k: int, subset: DataFrame | None = None, terms: list[str] | None = None) -> DataFrame:
     """(query_id, rank, doc_id, score) of the k best documents of each query, scores above 0 only.
 
     subset: (doc_id) for all queries or (query_id, doc_id) for each; statistics stay those of the whole index. Ids that don't
-    exist and repeated ids make no difference; an empty subset finds nothing.
+    exist and repeated ids make no difference; an empty subset finds nothing. terms: the queries' terms, if the caller knows them; they
+    then filter the scan of a stored index, which skips the row groups of others.
     """
-    return top(scores(index, queries, subset).filter("score > 0"), k)
+    return top(scores(index, queries, subset, terms).filter("score > 0"), k)
 
 
 def score(queries: DataFrame, docs: DataFrame, index: Index) -> DataFrame:

@@ -45,6 +45,13 @@ class Index:
         sums = self.docs.agg(F.count("*").alias("num_docs"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("total_tokens"))
         return sums.withColumn("avgdl", F.try_divide(F.col("total_tokens").cast("double"), F.col("num_docs")))
 
+    def only(self, terms: list[str]) -> Index:
+        """The index as far as some terms go; totals stay."""
+        held = F.col("term").isin(terms)
+        out = replace(self, postings=self.postings.filter(held), stored_terms=None if self.stored_terms is None else self.stored_terms.filter(held))
+        out.__dict__["numbers"] = self.numbers  # read once for the index that it is of
+        return out
+
     @cached_property
     def numbers(self) -> tuple[int, float | None] | None:
         """num_docs and avgdl of a stored index, read once; None if they are still to be computed."""

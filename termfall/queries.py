@@ -287,7 +287,7 @@ def lines_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.split_lines(_table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-#: The vocabulary of the reference's corpus generator (benchmarks/generate_corpus.py:7), in its order and with its repetitions.
+#: The vocabulary of the synthetic corpus, in its order and with its repetitions.
 SYNTHETIC_WORDS = (
     "the quick brown fox jumps over lazy dog cat bird fish tree river mountain cloud sun moon star ocean forest desert city road bridge house garden flower "
     "rain snow wind fire water earth stone metal glass wood paper book page word letter number color light dark red blue green yellow white black small "

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,7 +14,12 @@ def from_list(spark: SparkSession, texts: Sequence[str], start: int = 0) -> Data
     for i, t in enumerate(texts):
         if not isinstance(t, str):
             raise ValueError(f"element {i} is not a string")
-    return spark.createDataFrame([(start + i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    return local(spark, {"doc_id": pa.array(range(start, start + len(texts)), pa.int64()), "text": pa.array(texts, pa.string())})
+
+
+def local(spark: SparkSession, columns: dict[str, pa.Array]) -> DataFrame:
+    """A table of the driver's. Small ones become part of the plan, with their size known to the optimiser."""
+    return spark.createDataFrame(pa.table(columns))
 
 
 def from_bytes(spark: SparkSession, data: bytes, start: int = 0) -> DataFrame:
