@@ -230,7 +230,11 @@ def fit(rows: DataFrame, k: int) -> dict[int, Cells]:
     """Cells for each length of vectors in use, from its sample."""
     out = {}
     for dim, n in sorted(map(tuple, rows.groupBy(F.size("v")).agg(F.count("*")).collect())):  # a row for each length
-        some = rows.filter(F.size("v") == dim).orderBy(F.xxhash64(F.lit(SEED), "id"), "id").limit(max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))).toArrow()
+        size = max(1, min(SAMPLE, SAMPLE_BYTES // (8 * dim)))
+        place = F.xxhash64(F.lit(SEED), "id")
+        # Most rows are left out where they lie; so many more than needed pass that enough do.
+        share = F.pmod(place, F.lit(1 << 40)) < F.lit(int(min(1.0, (size + 8 * size**0.5 + 50) / n) * (1 << 40)))
+        some = rows.filter((F.size("v") == dim) & share).orderBy(place, "id").limit(size).toArrow()
         out[dim] = Cells.fit(some["id"].to_numpy(), np.array(some["v"].combine_chunks().flatten()).reshape(-1, dim), n, k)
     return out
 
