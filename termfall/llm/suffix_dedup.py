@@ -6,7 +6,7 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else as w
    bytes alone. Equal windows thus have equal anchors at equal distances, and neighbouring windows with one anchor form a
    block. Only about one suffix in 70 is an anchor.
 2. Distinguishing prefixes and pre-aggregation. Blocks are counted by the hash of their anchor's gram (partial sums before the shuffle),
-   with the least and largest 128-bit digest of a block's bytes and distance. A gram found once makes all its windows unique. A gram
+   with the least and largest 96-bit digest of a block's bytes and distance. A gram found once makes all its windows unique. A gram
    whose blocks all have one digest is one block in copies: merging would compare a string with itself, so all its windows are repeats,
    and a group of copies, however large, is never exchanged. Joining the counts back is a plain equi-join, which adaptive execution splits
    where a gram is hot.
@@ -22,7 +22,8 @@ A byte goes if a string of LENGTH bytes that covers it starts anywhere else as w
 A gram with over HOT blocks of differing surroundings would fill a task. Its windows are counted by 128-bit digests instead, again
 with partial sums: the same decision, window by window, for any number of blocks.
 
-Rows are told apart by a 128-bit digest of id and text, nulls flagged, so rows that share a key share their result.
+Rows are told apart by a 96-bit digest of id and text, nulls flagged, so rows that share a key share their result; among 10^10 different
+rows, any two share one with a chance of 6 in 10^10.
 
 Edge cases: null and empty texts and texts shorter than LENGTH lose nothing; texts are UTF-8 bytes, read whole, and matches never
 cross documents; repeated rows are repeats of each other; overlapping repeats inside a text count; rows with a null id keep
@@ -40,7 +41,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, ranges, slices, small_batches, to_arrow
+from .common import checkpointed, ranges, slices, small_batches, to_arrow, written
 
 LENGTH = 200
 GRAM = 64  # a power of two
@@ -105,7 +106,7 @@ def _parts(raw: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, int, int]]:
         yield b"".join(raw), np.cumsum([len(x) for x in raw], dtype=np.int64), 0, 0
 
 
-_BLOCKS = "d bigint, h bigint, place bigint, gram bigint, whole bigint, more bigint"
+_BLOCKS = "d bigint, h int, place bigint, gram bigint, whole bigint, more int"
 
 
 def sampled(keyed: DataFrame) -> DataFrame:
@@ -127,7 +128,7 @@ def sampled(keyed: DataFrame) -> DataFrame:
                     gram = np.fromiter((hashed(joined[a : a + GRAM]) for a in anchor), dtype=np.uint64, count=len(start)).view(np.int64)
                     whole = np.frombuffer(b"".join(digest(joined[s:e], x) for s, e, x in zip(start.tolist(), stop, distance.tolist(), strict=True)), dtype=np.int64).reshape(-1, 2)
                     own = begin + start - np.concatenate(([0], ends[:-1]))[owner]
-                    columns = [d[first + owner], h[first + owner], own << 16 | n << 8 | distance, gram, *np.ascontiguousarray(whole.T)]
+                    columns = [d[first + owner], h[first + owner], own << 16 | n << 8 | distance, gram, whole[:, 0].copy(), whole[:, 1].astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=arrow)
 
     return keyed.select("d", "h", "text").mapInArrow(run, _BLOCKS)
@@ -218,7 +219,7 @@ def _pack(part: int, own: list[tuple[bytes, bytes, int, int, int]]) -> dict:
     """A front-coded run of (suffix, reversed head, d, h, place)."""
     own.sort(key=lambda x: x[0])
     prefix, rests = front_code([x[0] for x in own])
-    return {"part": part, "n": len(own), "prefix": prefix.tobytes(), "rests": b"".join(rests), "heads": b"".join(x[1] for x in own), "d": np.array([x[2] for x in own], dtype=np.int64).tobytes(), "h": np.array([x[3] for x in own], dtype=np.int64).tobytes(), "place": np.array([x[4] for x in own], dtype=np.int64).tobytes()}
+    return {"part": part, "n": len(own), "prefix": prefix.tobytes(), "rests": b"".join(rests), "heads": b"".join(x[1] for x in own), "d": np.array([x[2] for x in own], dtype=np.int64).tobytes(), "h": np.array([x[3] for x in own], dtype=np.int32).tobytes(), "place": np.array([x[4] for x in own], dtype=np.int64).tobytes()}
 
 
 def _unpack(row: dict) -> tuple[list[bytes], list[int], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
@@ -229,7 +230,7 @@ def _unpack(row: dict) -> tuple[list[bytes], list[int], list[bytes], np.ndarray,
     head = np.concatenate(([0], np.cumsum(distance))).tolist()
     rests = [row["rests"][a:b] for a, b in zip(cut, cut[1:], strict=False)]
     heads = [row["heads"][a:b] for a, b in zip(head, head[1:], strict=False)]
-    return front_decode(prefix.tolist(), rests), prefix.tolist(), heads, np.frombuffer(row["d"], dtype=np.int64), np.frombuffer(row["h"], dtype=np.int64), place
+    return front_decode(prefix.tolist(), rests), prefix.tolist(), heads, np.frombuffer(row["d"], dtype=np.int64), np.frombuffer(row["h"], dtype=np.int32), place
 
 
 def repeated_windows(order_prefix: np.ndarray, head_rank: np.ndarray, head_prefix: np.ndarray, n: np.ndarray, distance: np.ndarray) -> np.ndarray:
@@ -312,7 +313,7 @@ def _runs(listed: DataFrame, parts: int) -> DataFrame:
     return listed.mapInArrow(run, _RUNS)
 
 
-_SPANS = "d bigint, h bigint, start bigint, stop bigint"
+_SPANS = "d bigint, h int, start bigint, stop bigint"
 
 
 def _merged(runs: DataFrame, parts: int) -> DataFrame:
@@ -333,7 +334,7 @@ def _merged(runs: DataFrame, parts: int) -> DataFrame:
 
 def _by_digest(listed: DataFrame) -> DataFrame:
     """Spans of the windows of hot grams, by counting 128-bit digests of windows."""
-    schema = "d bigint, h bigint, at bigint, w1 bigint, w2 bigint"
+    schema = "d bigint, h int, at bigint, w1 bigint, w2 bigint"
     arrow = to_arrow(listed.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -341,7 +342,7 @@ def _by_digest(listed: DataFrame) -> DataFrame:
             for d, h, raw, places in _listed(batch):
                 at = np.concatenate([np.arange(p >> 16, (p >> 16) + (p >> 8 & 255)) for p in places])
                 both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[i : i + LENGTH]) for i in at.tolist()), dtype=np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), h)), pa.array(at), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], schema=arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), d)), pa.array(np.full(len(at), h, dtype=np.int32)), pa.array(at), pa.array(np.ascontiguousarray(both[:, 0])), pa.array(np.ascontiguousarray(both[:, 1]))], schema=arrow)
 
     windows = listed.mapInArrow(run, schema)
     twice = checkpointed(windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2"))
@@ -354,16 +355,16 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     small_batches(spark)
     given, text = F.col(id_col).cast("string"), F.col(text_col)
     d, h = (F.xxhash64(F.lit(seed), given.isNull(), given, text.isNull(), text) for seed in (1, 2))
-    keyed = docs.select(F.col(id_col).alias("id"), d.alias("d"), h.alias("h"), text.alias("text"))
+    keyed = docs.select(F.col(id_col).alias("id"), d.alias("d"), F.shiftright(h, 32).cast("int").alias("h"), text.alias("text"))
     found = sampled(keyed)
     ends = [f(c).alias(f"{f.__name__}_{c}") for c in ("whole", "more") for f in (F.min, F.max)]
     grams = found.groupBy("gram").agg(F.count("*").alias("n"), *ends).filter("n > 1")
     one = (F.col("min_whole") == F.col("max_whole")) & (F.col("min_more") == F.col("max_more"))
     kind = F.when(one, F.lit(0)).when(F.col("n") <= hot, F.lit(1)).otherwise(F.lit(2))
     # Written first: then both sides of the join are plain exchanges, which adaptive execution can split at a hot gram.
-    shared = found.join(checkpointed(grams.select("gram", kind.alias("kind"))), "gram")
+    shared = found.join(written(grams.select("gram", kind.alias("kind")), "grams"), "gram")
     places = [F.expr(f"collect_set(CASE WHEN kind = {k} THEN place END)").alias(f"k{k}") for k in range(3)]
-    listed = checkpointed(shared.groupBy("d", "h").agg(*places))
+    listed = written(shared.groupBy("d", "h").agg(*places), "places")
     merged = listed.agg(F.sum(F.size("k1"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-merged // MERGED))
 
