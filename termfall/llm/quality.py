@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import joined, pieces, shared_dir, size_of, slices, small_batches, to_arrow, written
+from .common import few, joined, pieces, shared_dir, size_of, slices, small_batches, to_arrow, written
 
 ORDER = 5
 #: Bytes of text in a chunk, about, and in an input task at least (as files hold them).
@@ -251,6 +251,8 @@ def _keys(level: int) -> tuple[list[Column], list[Column], list[Column]]:
 
 def probabilities(counts: DataFrame) -> DataFrame:
     """(lang, hi, lo, c, p) of counts (lang, hi, lo, c): modified Kneser-Ney; n-grams with c = 0 are asked for only."""
+    # A row for each language: broadcast unless there are very many.
+    small = F.broadcast if few(counts.select("lang").distinct()) else (lambda df: df)
     levels = {ORDER: counts.select("lang", "hi", "lo", "c")}
     for k in range(ORDER - 1, 0, -1):
         hi, lo = _keys(k)[0]
@@ -258,7 +260,7 @@ def probabilities(counts: DataFrame) -> DataFrame:
     below = None
     for k in range(1, ORDER + 1):
         own, context, suffix = _keys(k)
-        rows = levels[k].join(_discounts(levels[k]), "lang")
+        rows = levels[k].join(small(_discounts(levels[k])), "lang")
         c = F.col("c")
         cut = F.when(c >= 3, F.col("d3")).when(c == 2, F.col("d2")).when(c == 1, F.col("d1")).otherwise(0.0)
         # A context's n-grams are as many as there are characters, at most.
