@@ -28,6 +28,8 @@ ORDERS = (2, 3)
 _MIX = np.uint32(0x9E3779B1)
 #: Added to each counter; steps of EM for each set of languages; price of a language, in half logs of the number of words.
 SMOOTH, STEPS, PENALTY = 0.5, 6, 3.0
+#: Bytes of texts that are worked on at a time: their arrays of words by languages should stay in a processor's cache.
+SLICE = 1 << 18
 #: Languages that one broadcast model may hold: each takes BUCKETS * 4 bytes.
 MOST_LANGUAGES = 512
 
@@ -93,7 +95,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang") -> tu
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] = {}
         for batch in batches:
-            for start, size in ranges(batch.column(0)):
+            for start, size in ranges(batch.column(0), SLICE):
                 by: dict[str, list[str]] = {}
                 for t, lang in zip(*(batch.column(i).slice(start, size).to_pylist() for i in (0, 1)), strict=True):
                     by.setdefault(lang, []).append(t)
@@ -180,7 +182,7 @@ def predict(docs: DataFrame, names: list[str], table: np.ndarray, text_col: str
     def guessed(texts: pa.Array) -> pa.Array:
         own, model = shared.value
         rows = []
-        for w in (w for some in slices(texts) for w in mixtures(some, model)):
+        for w in (w for some in slices(texts, SLICE) for w in mixtures(some, model)):
             order = [i for i in np.argsort(-w, kind="stable") if w[i] > 0]
             rows.append({"lang_pred": own[order[0]], "score": float(min(1.0, w[order[0]])), "languages": [own[i] for i in order], "shares": [float(w[i]) for i in order]} if order else {"lang_pred": "und", "score": 0.0, "languages": [], "shares": []})
         return pa.array(rows, type=kind)
