@@ -41,7 +41,7 @@ from .common import few, joined, pieces, shared_dir, size_of, slices, small_batc
 
 ORDER = 5
 #: Bytes of text in a chunk, about, and in an input task at least (as files hold them).
-CHUNK, TASK = 16 << 20, 48 << 20
+CHUNK, TASK = 32 << 20, 48 << 20
 #: n-grams that are broadcast: those whose count reaches the least power of two that so many don't exceed.
 HEAD = 1 << 20
 #: Documents with fewer words fail.
@@ -208,7 +208,8 @@ def chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             own = held.pop(lang)
             none = {"hi": None, "lo": None, "n": None, "texts": None}
             yield pa.RecordBatch.from_pylist([{"chunk": number, "lang": lang, "rows": _stored(own), **none}], schema=arrow)
-            found = [ngrams(texts) for b in own for some in slices(b.column(1), SLICE) if (texts := [t for t in some if t])]
+            whole = pa.chunked_array([b.column(1) for b in own]).combine_chunks()
+            found = [ngrams(texts) for some in slices(whole, SLICE) if (texts := [t for t in some if t])]
             if found:
                 hi, lo, n, texts_of = _summed(*map(np.concatenate, zip(*found, strict=True)))
                 yield from pieces({"chunk": np.full(len(hi), number), "lang": [lang] * len(hi), "rows": [None] * len(hi), "hi": hi, "lo": lo, "n": n, "texts": np.minimum(texts_of, 2)}, arrow)
@@ -221,7 +222,7 @@ def chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 size[lang] = size.get(lang, 0) + own.nbytes
                 if size[lang] >= CHUNK:
                     yield from flush(lang)
-            while sum(size.values()) > 2 * CHUNK:
+            while sum(size.values()) > CHUNK + CHUNK // 2:
                 yield from flush(max(size, key=size.get))
         for lang in list(held):
             yield from flush(lang)
