@@ -51,14 +51,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, which takes less disk than a checkpoint and can be read by columns.
 
-    The table is removed when the application ends.
+    The table is removed when the application ends. release: have the driver collect its garbage, after which Spark removes the shuffle
+    files of the job that is over; else they stay until it happens to.
     """
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     removed_at_end(df.sparkSession, path)
+    if release:
+        df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -284,8 +284,8 @@ def probabilities(counts: DataFrame) -> DataFrame:
 def fit(found: DataFrame) -> DataFrame:
     """The model (lang, hi, lo, c, lp) of the chunks' n-grams: a row for each that is found anywhere, with its log probability."""
     sums = found.groupBy("lang", "hi", "lo").agg(F.sum("n").alias("n"), F.sum("texts").alias("texts"))
-    counts = written(sums.select("lang", "hi", "lo", F.when(F.col("texts") > 1, F.col("n")).otherwise(0).alias("c")), "counts")
-    return written(probabilities(counts).select("lang", "hi", "lo", "c", F.log("p").cast("float").alias("lp")), "model")
+    counts = written(sums.select("lang", "hi", "lo", F.when(F.col("texts") > 1, F.col("n")).otherwise(0).alias("c")), "counts", release=True)
+    return written(probabilities(counts).select("lang", "hi", "lo", "c", F.log("p").cast("float").alias("lp")), "model", release=True)
 
 
 def head_of(model: DataFrame) -> DataFrame:
