@@ -20,7 +20,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that pairs of five-word similarity 0.8 and above connect."""
+    """One document of each group that pairs of five-word similarity 0.8 and above connect; SimHash and its trie join find the pairs."""
     return similar.keep_one(docs)
 
 

@@ -21,6 +21,7 @@ an empty table; extra columns are passed by (fingerprint_classes) or kept (keep_
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ SEED = 42
 WIDTH = 64
 #: Node pairs that are walked at a time.
 HELD = 200_000
+#: Node pairs of wide fingerprints that are walked at a time.
+WALKED = 20_000
 
 
 def fingerprint(text: str | None, words: int = 3) -> int:
@@ -148,6 +151,112 @@ def trie_links(sorted_fps: np.ndarray, fixed: int, bits: int = BITS) -> np.ndarr
     return sets.flat()
 
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """64-bit numbers with their bits mixed."""
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    x = (x ^ x >> np.uint64(32)) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ x >> np.uint64(32)
+
+
+def voted(hashes: np.ndarray, odd: np.ndarray) -> np.ndarray:
+    """The wide fingerprint of a set of hashes: a word of WIDTH majority bits for each multiplier. The empty set has zeros."""
+    ones = np.zeros(WIDTH * len(odd), dtype=np.int64)
+    for at in range(0, len(hashes), 2_048):
+        some = mixed(hashes[at : at + 2_048, None] * odd)
+        ones += np.unpackbits(some.astype(">u8").view(np.uint8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).view(">u8").astype(np.uint64)
+
+
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many leading bits the rows of a and b have in common; the rows differ."""
+    differ = a ^ b
+    word = (differ != 0).argmax(axis=1)
+    x = differ[np.arange(len(differ)), word]
+    for k in (1, 2, 4, 8, 16, 32):
+        x |= x >> np.uint64(k)
+    return WIDTH * (word + 1) - np.bitwise_count(x)
+
+
+def _trie(rows: np.ndarray, first: int, nodes: dict[str, list[int]]) -> int:
+    """Add the binary trie of sorted distinct rows to nodes, edges without branches skipped; its root. `first` is the position of the first row."""
+    depth = _shared(rows[:-1], rows[1:]).tolist() if len(rows) > 1 else []
+    lo, hi, at, left, right = (nodes[k] for k in ("lo", "hi", "depth", "left", "right"))
+
+    def add(start: int, stop: int, d: int, one: int) -> int:
+        for column, v in zip((lo, hi, at, left, right), (start, stop, d, one, -1), strict=True):
+            column.append(v)
+        return len(lo) - 1
+
+    path: list[int] = []
+
+    def closed(now: int, above: int) -> int:
+        while path and at[path[-1]] > above:
+            top = path.pop()
+            right[top], hi[top] = now, hi[now]
+            now = top
+        return now
+
+    leaf = WIDTH * rows.shape[1]
+    now = add(first, first + 1, leaf, -1)
+    for i, d in enumerate(depth, first + 1):
+        below = closed(now, d)
+        path.append(add(lo[below], -1, d, below))
+        now = add(i, i + 1, leaf, -1)
+    return closed(now, -1)
+
+
+@cache
+def _above(words: int) -> np.ndarray:
+    """For each depth, the bits above it, of fingerprints of so many words and a word that isn't charged."""
+    return np.packbits(np.arange(WIDTH * (words + 1)) < np.arange(WIDTH * words + 1)[:, None], axis=1).view(">u8").astype(np.uint64)
+
+
+def trie_pairs(fps: np.ndarray, root: np.ndarray, bits: int | np.ndarray, split: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of the wide fingerprints (rows of words) of different roots that differ in at most `bits` bits: one budget, or each its own, of which a pair has the larger.
+
+    All pairs or, with split, those of one before it and one behind it. Pairs of nodes are walked from the root of the trie down; a pair is dropped when
+    the bits above it differ too much or when all that lies below both is connected already.
+    """
+    n, words = fps.shape
+    order = np.concatenate([at[np.lexsort(fps[at].T[::-1])] for at in (np.arange(split), np.arange(split, n)) if len(at)])
+    # A last word, which is not charged, tells equal fingerprints apart.
+    rows = np.concatenate((fps[order], np.arange(n, dtype=np.uint64)[:, None]), axis=1)
+    columns: dict[str, list[int]] = {k: [] for k in ("lo", "hi", "depth", "left", "right")}
+    tops = [_trie(rows[s:e], s, columns) for s, e in ((0, split), (split, n)) if e > s]
+    lo, hi, depth, left, right = (np.array(columns[k]) for k in ("lo", "hi", "depth", "left", "right"))
+    own = root[order]
+    turns = np.concatenate(([0], np.cumsum(own[1:] != own[:-1])))
+    alone = turns[lo] == turns[hi - 1]
+    above = _above(words)
+    most = np.maximum.reduceat(np.append(np.broadcast_to(bits, n)[order], 0), np.stack((lo, hi), axis=1).ravel())[::2]
+    a, b = [], []
+    stack = [(np.array([tops[0]]), np.array([tops[-1]]))]
+    while stack:
+        x, y = stack.pop()
+        keep = ~(alone[x] & alone[y] & (own[lo[x]] == own[lo[y]]))
+        x, y = x[keep], y[keep]
+        at = np.minimum(depth[x], depth[y])
+        spent = np.zeros(len(x), dtype=np.int64)
+        # Half of the words settle most pairs of single fingerprints.
+        for part in (slice(0, words // 2), slice(words // 2, words)):
+            spent += np.bitwise_count((rows[lo[x], part] ^ rows[lo[y], part]) & above[np.minimum(at, WIDTH * words), part]).sum(axis=1, dtype=np.int64)
+            keep = spent <= np.maximum(most[x], most[y])
+            x, y, at, spent = x[keep], y[keep], at[keep], spent[keep]
+        ends = (left[x] < 0) & (left[y] < 0)
+        a.append(lo[x[ends]])
+        b.append(lo[y[ends]])
+        x, y, at = x[~ends], y[~ends], at[~ends]
+        # What branches here goes on as its halves; a node with itself: its halves meet once.
+        in_x, in_y, same = depth[x] == at, depth[y] == at, x == y
+        only_x, only_y, both = in_x & ~in_y, in_y & ~in_x, in_x & in_y
+        cross = both & ~same
+        halves = ((only_x, left, None), (only_x, right, None), (only_y, None, left), (only_y, None, right), (both, left, left), (both, right, right), (both, left, right), (cross, right, left))
+        nx = np.concatenate([x[m] if p is None else p[x[m]] for m, p, _ in halves])
+        ny = np.concatenate([y[m] if q is None else q[y[m]] for m, _, q in halves])
+        stack += [(nx[i : i + WALKED], ny[i : i + WALKED]) for i in range(0, len(nx), WALKED)]
+    return order[np.concatenate(a)], order[np.concatenate(b)]
+
+
 def links(distinct: DataFrame, bits: int = BITS, fp_col: str = "fp") -> DataFrame:
     """Links (a, b) between distinct fingerprints, at most one for each fingerprint and block, that connect what differs in at most `bits` bits."""
     spark = distinct.sparkSession

@@ -495,6 +495,58 @@ def test_open_buckets_are_settled_in_blocks(spark, monkeypatch):
     assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
 
 
+def test_wide_trie_gives_the_pairs_of_brute_force():
+    r = np.random.default_rng(5)
+    for n in (1, 2, 9, 60, 60, 60):
+        base = r.integers(0, 1 << 63, (3, 4), dtype=np.uint64)
+        fps = base[r.integers(0, 3, n)].copy()
+        for i in range(n):
+            for _ in range(r.integers(0, 8)):
+                fps[i, r.integers(0, 4)] ^= np.uint64(1) << np.uint64(r.integers(0, 64))
+        root = r.integers(0, 6, n)
+        for bits in (0, 3, 10):
+            near = (np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(axis=2) <= bits) & (root[:, None] != root[None, :])
+            for split in (0, n // 2):
+                want = {(i, j) for i, j in zip(*map(np.ndarray.tolist, np.nonzero(near)), strict=True) if i < j and (not split or i < split <= j)}
+                got = [(min(x), max(x)) for x in zip(*map(np.ndarray.tolist, simhash.trie_pairs(fps, root, bits, split)), strict=True)]
+                assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_near_dedup_goes_through_the_simhash_trie(spark, monkeypatch):
+    """Both trie joins find pairs: the narrow one what is within its bits, the wide one, with its budget, each pair at 0.8."""
+    import corpus_pipeline
+    from termfall.llm import similar
+
+    found = {}
+
+    def seen(name, own):
+        def run(*given):
+            found[name] = out = own(*given)
+            return out
+
+        return run
+
+    monkeypatch.setattr(similar.simhash, "links", seen("narrow", simhash.links))
+    monkeypatch.setattr(similar, "_alike", seen("wide", similar._alike))
+    r = random.Random(8)
+    base = [f"w{r.randrange(9000)}" for _ in range(400)]
+    texts = [" ".join(base), " ".join([*base, "more"])]
+    for k in range(60):
+        copy = base[:]
+        for i in r.sample(range(400), 8 + k % 12):
+            copy[i] = f"v{r.randrange(9000)}"
+        texts.append(" ".join(copy))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    want = sorted(set(similar_brute(texts, list(range(len(texts)))).tolist()))
+    assert sorted(x.doc_id for x in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == want
+    assert found["narrow"].count() > 0 and found["wide"].count() > 0
+    for n in (4, 12, 24, 60, 240):
+        shared = [r.getrandbits(64) for _ in range(n)]
+        for _ in range(20):
+            a, b = (simhash.voted(np.array([*shared, *(r.getrandbits(64) for _ in range(k))], dtype=np.uint64), similar._WIDE_ODD) for k in (n // 8, n // 4 - n // 8))
+            assert np.bitwise_count(a ^ b).sum() <= similar.budgets()[min(n + n // 8, similar.FEW)]
+
+
 def test_near_copies_without_texts(spark):
     import corpus_pipeline
 
