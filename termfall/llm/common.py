@@ -54,15 +54,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
 def written(df: DataFrame, name: str, release: bool = False) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder, which takes less disk than a checkpoint and can be read by columns.
 
-    The table is removed when the application ends. release: have the driver collect its garbage, after which Spark removes the shuffle
-    files of the job that is over; else they stay until it happens to.
+    The table is removed when the application ends. release: have Spark remove the job's shuffle files as soon as the table is written; else they
+    stay until the driver happens to collect its garbage.
     """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    removed_at_end(df.sparkSession, path)
-    if release:
-        df.sparkSession.sparkContext._jvm.System.gc()
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, own = df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    before = spark.conf.get(own)
+    spark.conf.set(own, "true" if release else before)
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(own, before)
+    removed_at_end(spark, path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def removed_at_end(spark: SparkSession, path: str) -> None:

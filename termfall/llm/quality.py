@@ -50,6 +50,8 @@ LEAST_WORDS = 50
 BELOW, ABOVE, LEAST_SCALE, LONG = 5.0, 6.0, 0.2, 5_000
 #: Bytes of texts, and characters of a long text, that are worked on at a time.
 SLICE, WINDOW = 1 << 20, 1_000_000
+#: n-grams of slices that are held before they are summed.
+MERGED = 1 << 18
 
 _BLANKS = " \t\n\x0b\x0c\r"
 _SYMBOLS = "#*$%&|<>"
@@ -209,9 +211,18 @@ def chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             none = {"hi": None, "lo": None, "n": None, "texts": None}
             yield pa.RecordBatch.from_pylist([{"chunk": number, "lang": lang, "rows": _stored(own), **none}], schema=arrow)
             whole = pa.chunked_array([b.column(1) for b in own]).combine_chunks()
-            found = [ngrams(texts) for some in slices(whole, SLICE) if (texts := [t for t in some if t])]
+            own.clear()
+            found: list[tuple[np.ndarray, ...]] = []
+            for some in slices(whole, SLICE):
+                if texts := [t for t in some if t]:
+                    found.append(ngrams(texts))
+                    # Sums so far: never many times the chunk's distinct n-grams.
+                    if sum(len(x[0]) for x in found[1:]) > max(MERGED, len(found[0][0])):
+                        found = [_summed(*map(np.concatenate, zip(*found, strict=True)))]
+            del whole
             if found:
                 hi, lo, n, texts_of = _summed(*map(np.concatenate, zip(*found, strict=True)))
+                found.clear()
                 yield from pieces({"chunk": np.full(len(hi), number), "lang": [lang] * len(hi), "rows": [None] * len(hi), "hi": hi, "lo": lo, "n": n, "texts": np.minimum(texts_of, 2)}, arrow)
 
         for batch in batches:
@@ -226,6 +237,8 @@ def chunks(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
                 yield from flush(max(size, key=size.get))
         for lang in list(held):
             yield from flush(lang)
+        # The worker goes on to other tasks.
+        pa.default_memory_pool().release_unused()
 
     spark = rows.sparkSession
     tasks = max(2 * spark.sparkContext.defaultParallelism, -(-size_of(rows) // TASK))
@@ -382,7 +395,7 @@ def measured(rows: DataFrame, kept: list[int]) -> DataFrame:
             out.append(pa.Table.from_arrays(columns, schema=arrow))
         return pa.concat_tables(out)
 
-    return written(packed.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(score, schema), "measured")
+    return written(packed.groupBy("chunk").cogroup(parts.groupBy("chunk")).applyInArrow(score, schema), "measured", release=True)
 
 
 def _verdicts(scored: DataFrame) -> DataFrame:

@@ -422,3 +422,30 @@ def test_held_out_accuracy(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang")
     got = op2_language_id(spark, SF).filter("held_out").join(docs, "doc_id").toPandas()
     assert (got.lang_pred == got.lang).mean() > 0.95
+
+
+def test_released_tables_leave_no_shuffle_files(spark, monkeypatch):
+    """Their removal doesn't wait for the driver's garbage: none is collected here."""
+    import glob
+    import time
+
+    from termfall.llm import common
+
+    kind = type(spark.sparkContext._jvm.System)
+    real = kind.__getattr__
+    monkeypatch.setattr(kind, "__getattr__", lambda self, name: (lambda: None) if name == "gc" else real(self, name))
+    folder = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath()
+    files = lambda: set(glob.glob(f"{folder}/*/shuffle_*.data"))
+    before = files()
+    df = spark.range(10_000).repartition(3, "id")
+    assert common.written(df, "kept").count() == 10_000
+    kept = files() - before
+    assert kept
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(name)
+    out = common.written(df, "released", release=True)
+    until = time.time() + 5
+    while (left := files() - before - kept) and time.time() < until:
+        time.sleep(0.1)
+    assert not left and spark.conf.get(name) == was
+    assert out.count() == 10_000
