@@ -6,7 +6,7 @@ import pytest
 from termfall import Analyzer, Scoring, build, search
 from termfall import queries as retrieval
 from termfall.functions.scoring import METHODS
-from termfall.operators import batch, mutate
+from termfall.operators import batch, evaluate, mutate
 
 from .conftest import SF
 
@@ -71,3 +71,10 @@ def plan(df):
 def test_known_items_make_no_row_for_each_pair(spark):
     """Postings aren't joined with query terms: that made a row for each query and document with a common word."""
     assert "term" not in plan(retrieval.ndcg_known_item(spark, SF))
+
+
+@pytest.mark.parametrize("analyzers, titles", [([PLAIN], (0,)), ([PLAIN], (0, 3)), ([PLAIN, Analyzer()], (0,))])
+def test_grids_make_no_row_for_each_pair(spark, analyzers, titles):
+    """By methods, by titles and by tokenizers."""
+    docs, queries, qrels = retrieval._known(spark, SF)
+    assert "term" not in plan(evaluate.grid(docs, queries, qrels, analyzers, [Scoring(), Scoring("bm25l")], titles))
