@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -62,20 +62,24 @@ class Analyzer:
             return F.filter(parts, lambda x: ~x.isin(*sorted(STOPWORDS))) if self.use_stopwords else parts
         return self._udf()(text)
 
-    def counts(self, text: Column) -> Column:
-        """A struct of a text's length in terms and its distinct terms with their numbers: (dl, counts[(term, tf)])."""
+    def counts(self, text: Column, only: Iterable[str] | None = None) -> Column:
+        """A struct of a text's length in terms and its distinct terms with their numbers: (dl, counts[(term, tf)]). only: count these terms and no others; the length is whole."""
         split = self.splitter()
+        wanted = None if only is None else frozenset(only)
 
         @F.arrow_udf(f"struct<dl: int, counts: array<{_COUNT}>>")
         def counted(texts: pa.Array) -> pa.Array:
+            return pa.concat_arrays([of_slice(some) for some in _slices(texts)])
+
+        def of_slice(texts: list[str | None]) -> pa.Array:
             sizes, lens, terms, numbers = [0], [], [], []
-            for some in _slices(texts):
-                for t in some:
-                    found = Counter(split(t))
-                    lens.append(found.total())
-                    terms += found.keys()
-                    numbers += found.values()
-                    sizes.append(len(terms))
+            for t in texts:
+                words = split(t)
+                lens.append(len(words))
+                found = Counter(words if wanted is None else filter(wanted.__contains__, words))
+                terms += found.keys()
+                numbers += found.values()
+                sizes.append(len(terms))
             each = pa.StructArray.from_arrays([pa.array(terms, pa.string()), pa.array(numbers, pa.int32())], ["term", "tf"])
             return pa.StructArray.from_arrays([pa.array(lens, pa.int32()), pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), each)], ["dl", "counts"])
 

@@ -9,6 +9,7 @@ query comes, so documents can be added and removed without rewriting scores.
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from dataclasses import dataclass, field, replace
 from functools import cached_property
 
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.analysis import Analyzer
 from ..functions.scoring import Scoring
+from ..sources.scratch import small_batches
 
 
 @dataclass(frozen=True)
@@ -31,6 +33,8 @@ class Index:
     stored_totals: DataFrame | None = None
     #: Analysed documents that docs and postings both come from, where they do: whoever writes both analyses once.
     forward: DataFrame | None = None
+    #: Whether postings and terms are those of some terms only; docs and totals are whole in any case. Such an index can be searched for these terms, not stored.
+    partial: bool = False
 
     @property
     def terms(self) -> DataFrame:
@@ -64,6 +68,10 @@ class Index:
         held = self.postings.groupBy("doc_id").agg(F.collect_list(F.struct("term", "tf")).alias("counts"))
         return self.docs.join(held, "doc_id", "left").select("doc_id", "dl", F.coalesce("counts", F.array().cast("array<struct<term: string, tf: int>>")).alias("counts"))
 
+    def on(self, forward: DataFrame) -> Index:
+        """The index of other analysed documents under the same settings."""
+        return replace(of_forward(forward.select("doc_id", "dl", "counts"), self.analyzer, self.scoring), partial=self.partial)
+
     def scored_by(self, scoring: Scoring) -> Index:
         """The same index under another formula: nothing is computed anew."""
         return replace(self, scoring=scoring)
@@ -75,9 +83,10 @@ class Index:
         return len(self) == 0
 
 
-def counted(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text", *keys: str) -> DataFrame:
-    """(keys, doc_id, dl, counts): a row per document with its terms, counted where the text lies. No shuffle."""
-    each = docs.select(*keys, F.col(id_col).cast("bigint").alias("doc_id"), analyzer.counts(F.col(text_col)).alias("c"))
+def counted(docs: DataFrame, analyzer: Analyzer, id_col: str = "doc_id", text_col: str = "text", *keys: str, only: Iterable[str] | None = None) -> DataFrame:
+    """(keys, doc_id, dl, counts): a row per document with its terms (or with these only), counted where the text lies. No shuffle."""
+    small_batches(docs.sparkSession)
+    each = docs.select(*keys, F.col(id_col).cast("bigint").alias("doc_id"), analyzer.counts(F.col(text_col), only).alias("c"))
     return each.select(*keys, "doc_id", F.col("c.dl").alias("dl"), F.col("c.counts").alias("counts"))
 
 
@@ -91,10 +100,13 @@ def of_forward(forward: DataFrame, analyzer: Analyzer, scoring: Scoring) -> Inde
     return Index(forward.select("doc_id", "dl"), postings_of(forward), analyzer, scoring, forward=forward)
 
 
-def build(docs: DataFrame, analyzer: Analyzer | None = None, scoring: Scoring | None = None, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """The index of a table of documents. Lazy: nothing runs until it is read. Ids must be unique; a null text is an empty document."""
+def build(docs: DataFrame, analyzer: Analyzer | None = None, scoring: Scoring | None = None, id_col: str = "doc_id", text_col: str = "text", only: Iterable[str] | None = None) -> Index:
+    """The index of a table of documents. Lazy: nothing runs until it is read, and each reading analyses the texts. Ids must be unique; a null text is an empty document.
+
+    only: these terms' postings alone. search.indexed() has the queries' terms and writes what it analyses.
+    """
     analyzer = analyzer or Analyzer()
-    return of_forward(counted(docs, analyzer, id_col, text_col), analyzer, scoring or Scoring())
+    return replace(of_forward(counted(docs, analyzer, id_col, text_col, only=only), analyzer, scoring or Scoring()), partial=only is not None)
 
 
 def empty(spark, analyzer: Analyzer | None = None, scoring: Scoring | None = None) -> Index:

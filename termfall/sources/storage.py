@@ -68,6 +68,8 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 def save(index: Index, path: str) -> None:
     """Write the index as the path's current version. Texts that aren't analysed yet are analysed once."""
+    if index.partial:
+        raise ValueError("an index of some terms only can't be stored")
     spark = index.docs.sparkSession
     version = f"{path}/v-{uuid.uuid4().hex}"
     fs, made = _fs(spark, path)
