@@ -12,6 +12,8 @@ from ..sources.scratch import checkpointed
 
 #: Ids of a bucket of the deletions' table; deletions that may be broadcast (a row of two longs each, and a row for each bucket).
 BUCKET, MOST_BROADCAST = 4_096, 100_000
+#: Ids of a word of bits: under 63, so that sums of bits don't overflow.
+WORD = 32
 
 
 def numbered(docs: DataFrame, start: int, order_col: str, id_col: str = "doc_id") -> DataFrame:
@@ -48,6 +50,8 @@ def add(index: Index, docs: DataFrame, order_col: str | None = None, check: bool
         if there:
             raise ValueError(f"document {there['doc_id']} is there already")
     more = build(docs.select("doc_id", "text"), index.analyzer, index.scoring)
+    if index.forward is not None:
+        return index.on(index.forward.unionByName(more.forward))
     return replace(index, docs=index.docs.unionByName(more.docs), postings=index.postings.unionByName(more.postings), stored_terms=None, stored_totals=None, forward=None)
 
 
@@ -60,35 +64,47 @@ def delete(index: Index, gone: DataFrame, compact: bool = True) -> Index:
     gone = checkpointed(gone.select(F.col("doc_id").cast("bigint").alias("doc_id")).distinct().join(index.docs.select("doc_id"), "doc_id", "left_semi"))
     few = gone.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
     small = F.broadcast if few else (lambda df: df)
-    docs, postings = (df.join(small(gone), "doc_id", "left_anti") for df in (index.docs, index.postings))
+    # A row for each document, where there is one, rather than for each posting.
+    held = (index.docs, index.postings) if index.forward is None else (index.forward,)
+    held = [df.join(small(gone), "doc_id", "left_anti") for df in held]
     if compact:
         low, high, n = index.docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*")).first()
         if n and (low, high) == (0, n - 1):
-            docs, postings = (_shifted(df, gone, n, small) for df in (docs, postings))
+            held = [_shifted(df, gone, n, small) for df in held]
         else:
             # Ids with gaps of their own: each id's rank among those that stay.
-            moves = numbered(docs.select("doc_id"), 0, "doc_id", "to").select("doc_id", "to")
-            docs, postings = (df.join(moves, "doc_id").withColumn("doc_id", F.col("to")) for df in (docs, postings))
+            moves = numbered(held[0].select("doc_id"), 0, "doc_id", "to").select("doc_id", "to")
+            held = [df.join(moves, "doc_id").withColumn("doc_id", F.col("to")) for df in held]
+    if index.forward is not None:
+        return index.on(held[0])
+    docs, postings = held
     return replace(index, docs=docs.select("doc_id", "dl"), postings=postings.select("term", "doc_id", "tf", "dl"), stored_terms=None, stored_totals=None, forward=None)
 
 
 def _shifted(df: DataFrame, gone: DataFrame, n: int, small) -> DataFrame:
     """df, whose ids were 0 to n - 1, with each id less the number of deleted ids below it.
 
-    A bucket of ids has its deleted ones as an array, and their number before it.
+    A bucket of ids has its deleted ones as the bits of words, with their number before each word, and their number before the bucket: a row looks up one
+    word, however many ids of its bucket are deleted.
     """
-    held = gone.groupBy(F.floor(F.col("doc_id") / BUCKET).alias("b")).agg(F.array_sort(F.collect_list("doc_id")).alias("own"))
+    word, bit = F.floor(F.col("doc_id") % BUCKET / WORD).cast("int"), F.call_function("shiftleft", F.lit(1).cast("bigint"), (F.col("doc_id") % BUCKET % WORD).cast("int"))
+    bits = gone.groupBy(F.floor(F.col("doc_id") / BUCKET).alias("b"), word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    words = F.sequence(F.lit(0), F.lit(-(-BUCKET // WORD) - 1))
+    held = bits.groupBy("b").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("set"), F.sum(F.bit_count("bits")).alias("size"))
+    held = held.withColumn("own", F.transform(words, lambda i: F.coalesce(F.try_element_at("set", i), F.lit(0).cast("bigint"))))
+    less = F.transform(words, lambda i: F.aggregate(F.slice("own", 1, i), F.lit(0), lambda a, x: a + F.bit_count(x)))
+    held = held.select("b", "size", "own", less.alias("less"))
     buckets = df.sparkSession.range(-(-n // BUCKET)).withColumnRenamed("id", "b").join(small(held), "b", "left")
     # One row for each BUCKET ids; sums over runs of BUCKET buckets, and of runs, so that no task has them all.
-    size = F.coalesce(F.size("own"), F.lit(0)).cast("bigint")
+    size = F.coalesce("size", F.lit(0)).cast("bigint")
     run = F.floor(F.col("b") / BUCKET)
     within = buckets.withColumns({"run": run, "size": size}).withColumn("upto", F.sum("size").over(Window.partitionBy("run").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)))
     runs = within.groupBy("run").agg(F.sum("size").alias("n"))
     runs = runs.select("run", (F.sum("n").over(Window.orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
-    table = within.join(runs, "run").select("b", "own", (F.col("before") + F.col("upto") - F.col("size")).alias("before"))
+    table = within.join(runs, "run").select("b", "own", "less", (F.col("before") + F.col("upto") - F.col("size")).alias("before"))
     table = F.broadcast(table) if n <= BUCKET * MOST_BROADCAST else table
-    below = F.size(F.filter(F.coalesce("own", F.array().cast("array<bigint>")), lambda x: x < F.col("doc_id")))
-    return df.withColumn("b", F.floor(F.col("doc_id") / BUCKET)).join(table, "b").withColumn("doc_id", F.col("doc_id") - F.col("before") - below).drop("b", "own", "before")
+    below = F.coalesce(F.element_at("less", word + 1) + F.bit_count(F.element_at("own", word + 1).bitwiseAND(bit - 1)), F.lit(0))
+    return df.withColumn("b", F.floor(F.col("doc_id") / BUCKET)).join(table, "b").withColumn("doc_id", F.col("doc_id") - F.col("before") - below).drop("b", "own", "less", "before")
 
 
 def update(index: Index, docs: DataFrame, check: bool = True) -> Index:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from termfall import Analyzer, build, search
 from termfall import queries as retrieval
+from termfall.operators import mutate
 from termfall.operators import search as ops
 from termfall.sources import storage
 
@@ -80,3 +81,22 @@ def test_workers_get_batches_of_bounded_bytes(spark):
         assert int(spark.conf.get(BATCH)) <= 4 << 20
     finally:
         spark.conf.set(BATCH, before)
+
+
+def test_ids_are_shifted_by_document(spark):
+    """Not by posting, and not by a look through all deleted ids of a bucket."""
+    index = mutate.delete(build(frame(spark, texts(40, 6), "doc_id bigint, text string"), PLAIN), spark.createDataFrame([(3,), (9,)], "doc_id bigint"))
+    text = plan(index.postings)
+    # From the top: postings are made of the rows that the joins return.
+    assert text.index("Generate") < text.index("Join")
+
+
+def test_postings_without_documents_rows_are_shifted(spark, tmp_path):
+    """A stored index, from which ids on both sides of words and buckets go."""
+    rows = [f"w{i}" for i in range(140)]
+    storage.save(build(frame(spark, rows, "doc_id bigint, text string"), PLAIN), str(tmp_path / "i"))
+    gone = [0, 30, 31, 32, 33, 62, 63, 64, 127, 139]
+    index = mutate.delete(storage.load(spark, str(tmp_path / "i")), spark.createDataFrame([(i,) for i in gone], "doc_id bigint"))
+    want = [r for i, r in enumerate(rows) if i not in gone]
+    assert sorted((r.doc_id, r.term) for r in index.postings.collect()) == list(enumerate(want))
+    assert sorted(r.doc_id for r in index.docs.collect()) == list(range(130))
