@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .common import few, joined, pieces, shared_dir, size_of, slices, small_batches, to_arrow, written
+from .common import few, joined, map_slices, pieces, shared_dir, size_of, slices, small_batches, to_arrow, written
 
 ORDER = 5
 #: Bytes of text in a chunk, about, and in an input task at least (as files hold them).
@@ -400,12 +400,29 @@ def measured(rows: DataFrame, kept: list[int]) -> DataFrame:
 
 def _verdicts(scored: DataFrame) -> DataFrame:
     """scored with base_failed and kept."""
-    n = F.col("m_n_words")
-    failed = (n < LEAST_WORDS) | (100 * F.col("m_n_repeat_words") > 50 * n)
+    failed = _fails(F.col("m_n_words"), F.col("m_n_repeat_words"))
     scored = scored.withColumn("m_failed", failed)
     return joined(scored, written(bands(scored.filter(~failed)), "bands"), "m_lang", "left").withColumn("m_kept", ~F.col("m_failed") & F.coalesce(F.abs(_place()) <= 1, F.lit(True)))
 
 
+def _fails(n_words: Column, n_repeat_words: Column) -> Column:
+    """Whether the counted rules reject a text."""
+    return (n_words < LEAST_WORDS) | (100 * n_repeat_words > 50 * n_words)
+
+
+def count_quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """A row per document: id, counts and base_failed as score_quality has them, in one pass: they need no model."""
+    small_batches(docs.sparkSession)
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def count(batch: pa.RecordBatch) -> Iterator[dict]:
+        counts = map(base_counts, batch.column(1).to_pylist())
+        yield {"m_id": batch.column(0).to_pylist(), **dict(zip(_COUNTS, zip(*counts, strict=True), strict=True))}
+
+    rows = map_slices(docs.select(F.col(id_col), F.col(text_col)), 1, count, f"m_id {kind}, " + ", ".join(f"{c} bigint" for c in _COUNTS))
+    return rows.select(F.col("m_id").alias(id_col), *_COUNTS, _fails(F.col("n_words"), F.col("n_repeat_words")).alias("base_failed"))
+
+
 def _unit() -> Column:
     return F.sqrt(1 / F.greatest(F.col("m_chars"), F.lit(1)) + F.lit(1 / LONG))
 
