@@ -100,3 +100,14 @@ def test_postings_without_documents_rows_are_shifted(spark, tmp_path):
     want = [r for i, r in enumerate(rows) if i not in gone]
     assert sorted((r.doc_id, r.term) for r in index.postings.collect()) == list(enumerate(want))
     assert sorted(r.doc_id for r in index.docs.collect()) == list(range(130))
+
+
+def test_a_stored_index_is_read_by_its_queries_terms(spark, tmp_path):
+    """Other postings were read and shuffled to be joined."""
+    path = str(tmp_path / "i")
+    storage.save(build(frame(spark, texts(60, 7), "doc_id bigint, text string"), PLAIN), path)
+    queries = frame(spark, ["w1 common W1", "w2"], "query_id int, query string")
+    index = storage.load(spark, path)
+    got = search(index, queries, 9)
+    assert "In(term, [common,w1,w2])" in plan(got)
+    assert found(got) == found(search(index, queries, 9, terms=["common", "w1", "w2", "w3"]))
