@@ -8,7 +8,7 @@ analysis is refused. Segments are ordinary relations; reading them all gives an
 from __future__ import annotations
 
 import json
-from dataclasses import asdict
+from dataclasses import asdict, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,5 +64,6 @@ def segments(spark: SparkSession, path: str, analyzer: Analyzer | None = None, s
 
 def compact(spark: SparkSession, path: str, to: str, scoring: Scoring | None = None) -> Index:
     """All segments written so far as a stored index at `to`, laid out by term."""
-    storage.save(segments(spark, path, scoring=scoring), to)
+    # The segments are analysed rows already: save() need not write them once more.
+    storage.save(replace(segments(spark, path, scoring=scoring), forward=None), to)
     return storage.load(spark, to)

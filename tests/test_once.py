@@ -111,3 +111,19 @@ def test_a_stored_index_is_read_by_its_queries_terms(spark, tmp_path):
     got = search(index, queries, 9)
     assert "In(term, [common,w1,w2])" in plan(got)
     assert found(got) == found(search(index, queries, 9, terms=["common", "w1", "w2", "w3"]))
+
+
+def test_compaction_writes_no_copy_of_the_segments(spark, tmp_path, monkeypatch):
+    from termfall.sources import readers
+    from termfall.streaming import ingest
+
+    source, out = str(tmp_path / "in"), str(tmp_path / "out")
+    readers.from_list(spark, ["a a b", "c", ""]).write.parquet(source)
+    ingest.ingest(spark.readStream.schema("doc_id bigint, text string").parquet(source), out, str(tmp_path / "log"), PLAIN).awaitTermination()
+    saved = []
+    save = storage.save
+    monkeypatch.setattr(ingest.storage, "save", lambda index, path: saved.append(index.forward) or save(index, path))
+    stored = ingest.compact(spark, out, str(tmp_path / "stored"))
+    assert saved == [None]
+    assert sorted(map(tuple, stored.postings.collect())) == [("a", 0, 2, 3), ("b", 0, 1, 3), ("c", 1, 1, 1)]
+    assert sorted(map(tuple, stored.docs.collect())) == [(0, 3), (1, 1), (2, 0)]
